@@ -3,15 +3,26 @@
 from __future__ import annotations
 
 from ..runtime import table
-from . import copies
+from . import copies, encode, leaks, pieces, together
 
 
 def queries() -> dict:
     return {
         "p2_found": lambda s, d: copies.copies(table(s, d, "chunks")),
         "p2_counts": lambda s, d: copies.counts(table(s, d, "chunks")),
+        "p4_found": lambda s, d: together.notable(table(s, d, "doc_equipment")),
+        "p4_scores": lambda s, d: together.scored(table(s, d, "doc_equipment")),
+        "p5_found": lambda s, d: pieces.oversized(table(s, d, "chunks")),
+        "p5_pieces": lambda s, d: pieces.pieces(table(s, d, "chunks")),
+        "p8_ids": lambda s, d: encode.ids(table(s, d, "documents")),
+        "p9_found": lambda s, d: leaks.leaked(table(s, d, "documents"), table(s, d, "gold")),
+        "p9_spans": lambda s, d: leaks.spans(table(s, d, "documents"), table(s, d, "gold")),
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "p4_found": together.SQL_FOUND,
+        "p4_scores": together.SQL_SCORED,
+        "p5_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 1800",
+    }
