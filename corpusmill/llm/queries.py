@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..runtime import table
-from . import copies, encode, leaks, near, pieces, together
+from . import copies, encode, leaks, near, pieces, residue, together
 
 
 def queries() -> dict:
@@ -19,6 +19,9 @@ def queries() -> dict:
         "p8_ids": lambda s, d: encode.ids(table(s, d, "documents")),
         "p9_found": lambda s, d: leaks.leaked(table(s, d, "documents"), table(s, d, "gold")),
         "p9_spans": lambda s, d: leaks.spans(table(s, d, "documents"), table(s, d, "gold")),
+        "p10_found": lambda s, d: residue.found(table(s, d, "documents")),
+        "p10_evidence": lambda s, d: residue.evidence(table(s, d, "documents")),
+        "p10_corpus": lambda s, d: residue.kept(table(s, d, "documents")).select("doc_id", "lang", "n_chars"),
     }
 
 

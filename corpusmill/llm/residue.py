@@ -1,0 +1,159 @@
+"""Problem 10: template residue, filler and error pages.
+
+Lines are normalised and counted by host (the documents' domain); lines that recur in many of a host's longer documents
+are its boilerplate and are subtracted. What is left of each document is searched for evidence: unfilled placeholders,
+filler, messages of a server, viewer, converter or sign-in, and notices that scripts are required. Each pattern asks for
+the form such a message has (it addresses the reader or names the thing asked for), so that sentences about such things
+don't match; quoted placeholders are mentions, not residue.
+
+Only documents longer than SHORT count towards boilerplate: an error page that stands alone never makes its own lines
+recurrent. Defined results: null, empty and blank texts are no case; a null domain is a host of its own.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..runtime import cut, small
+
+#: A line is boilerplate if it stands in at least this share of a host's longer documents, and in this many.
+SHARE, LEAST, SHORT = 0.01, 20, 600
+
+#: Syllables of the customary filler passage.
+SYLLABLES = "lo rem ip sum do lor sit am et con sec te tur ad ipi sci ng eli ali sed eius mod tem por in ci di dunt ut la bo re mag ma gna qua quis qui nos trud ve ni mi no li si pi co".split()
+
+_NAME = "[A-Za-z][\\w .:-]{0,40}?"
+_ANY = "[^\\[\\]{}<>\\n]{1,60}?"
+PLACEHOLDER = (
+    "(?=[{<\\[@_%#$])(?<![\"“”'‘’`«])(?:"
+    f"\\{{\\{{\\s*{_NAME}\\s*\\}}\\}}|\\$\\{{\\s*{_NAME}\\s*\\}}|(?<![\\w${{])\\{{\\s*[A-Za-z]\\w*(?:[ _.]\\w+)*\\s*\\}}(?!\\}})"
+    f"|<%=?\\s*{_NAME}\\s*%>|<<\\s*{_NAME}\\s*>>|\\[\\[\\s*{_NAME}\\s*\\]\\]|@@\\s*{_NAME}\\s*@@"
+    f"|(?<!\\w)__\\s*{_NAME}\\s*__(?!\\w)|(?<![\\w%])%[A-Za-z]\\w*(?:[ .]\\w+)*%(?!\\w)|(?<![#\\w])#[A-Za-z]\\w*(?:[ .]\\w+)*#(?![#\\w])"
+    f"|(?i:\\[\\s*(?:insert|enter|fill in|your|type|add|tbd|tbc|placeholder)\\b{_ANY}\\]|<\\s*(?:insert|enter|fill in|your|type|add|placeholder)\\b{_ANY}>"
+    "|\\[[^\\[\\]\\n]{1,60}?\\bto be (?:completed|filled|added|confirmed|supplied)[^\\[\\]\\n]{0,20}\\]))"
+)
+LATIN = "(?i)(?:\\b(?:" + "|".join(sorted(SYLLABLES, key=lambda s: (-len(s), s))) + ")+\\b[\\s,.;]+){5,}"
+
+#: kind: words of which one must be there, and the patterns (over lower-cased text with single spaces).
+EVIDENCE: dict[str, tuple[list[str], list[str]]] = {
+    "script": (
+        ["script", "skript", "browser", "cookie", "active content"],
+        [
+            "<noscript",
+            "scripts? (?:is|are) (?:switched off|turned off|disabled|blocked|not enabled)",
+            "(?:enable|activate|allow|turn on|switch on)(?: \\w+){0,2} (?:java)?script(?:s|ing)?\\b(?: \\w+){0,4} (?:to|and|then) (?:see|view|load|reload|open|display|continue|read|use)",
+            "(?:will|does|can) ?not (?:run|work|load|open|display)(?: \\w+){0,3} without (?:java)?script",
+            "(?:java)?script(?:s|ing)? (?:is|are|must be) (?:required|needed|enabled|blocked)(?: \\w+){0,3} (?:to (?:see|view|load|open|display|continue|use)|in (?:this|your) browser)",
+            "(?:a )?cookies? (?:is|are) (?:missing|blocked|disabled|required)",
+            "your browser (?:blocks|does not support|has blocked|is not supported|cannot)",
+            "brauch\\w* aktivierte skripte|skripte (?:sind|müssen) (?:deaktiviert|aktiviert)|(?:aktivieren|erlauben) sie (?:java)?s[ck]ripte?",
+            "activez (?:les scripts|javascript)|les scripts (?:sont|doivent être) (?:désactivés|activés)",
+            "(?:active|habilite|permita) (?:los scripts|javascript)|los scripts están (?:desactivados|bloqueados)",
+            "スクリプトを有効|javascriptを有効",
+        ],
+    ),
+    "error": (
+        ["error", "found", "introuvable", "gefunden", "encontrada", "denied", "refus", "verweiger", "denegado", "session", "sitzung", "sesión", "traceback", "exist", "robot", "requests", "planned work", "maintenance", "could not", "couldn", "unable", "cannot", "<title>", "loading", "sign in", "log in", "forbidden", "timed out", "gateway", "アクセス", "ページ"],
+        [
+            "traceback \\(most recent call last\\)",
+            "<(?:title|h1)>\\s*(?:[45]\\d\\d\\b|error|gateway|forbidden|not found)",
+            "(?:^|[.!?>\\]:] )\\s*[45]\\d\\d (?:not found|forbidden|unauthori[sz]ed|bad gateway|bad request|gone|internal server error|service unavailable|gateway time-?out)\\b",
+            "nothing is stored under /",
+            "\\berror [45]\\d\\d:",
+            "(?:service|server|site|host) (?:did not|does not|didn't|is not) (?:answer|respond|responding|reply)",
+            "page (?:you \\w+ \\w+ \\w+ )?(?:was |is |could |can )?(?:not (?:be )?found|missing)(?: or has \\w+)?\\. (?:the|check|go|return|back|it|path|nothing)",
+            "(?:item|page|document|file|drawing|sheet) you (?:were looking for|requested|asked for|want(?:ed)?)[^.]{0,20} (?:has|have|is|was|does|could|no longer|cannot)",
+            "page introuvable\\.? le |le chemin \\S+ n'existe plus",
+            "seite nicht gefunden\\.? der |der pfad \\S+ ist nicht (?:mehr )?vorhanden",
+            "página no encontrada\\.? la |la ruta \\S+ ya no existe",
+            "ページが見つかりません|アクセスが拒否|アクセスできません",
+            "access (?:is |was )?(?:denied|refused|forbidden)[.:!]",
+            "your account (?:may|can|does|is) ?not",
+            "you (?:do not|don't|are not) (?:have|allowed|authori[sz]ed|permi\\w+)(?: \\w+){0,3} (?:to (?:open|view|see|access)|permission|access)",
+            "acc[eè]s refusé (?:à|a|\\.|:)|veuillez vous (?:re)?connecter",
+            "zugriff verweigert(?: auf|\\.|:)|bitte (?:neu |erneut |wieder )?anmelden",
+            "acceso denegado(?: a|\\.|:)|(?:inicie|vuelva a iniciar) (?:la )?sesión",
+            "your (?:session|login|sign-in) (?:has|is) (?:ended|expired|timed out|closed)",
+            "(?:sign|log) in (?:again |first |here )?to (?:view|see|open|continue|read|load|access)",
+            "(?:service|site|server|system|viewer) is (?:down|closed|unavailable|offline) for (?:planned|scheduled|urgent) (?:work|maintenance)",
+            "too many requests\\.",
+            "(?:checking|verify|confirm|prove)(?:ing)? (?:that )?you are (?:not a robot|human|a human)",
+            "(?:could not|couldn't|cannot|can't|unable to|failed to) (?:convert|render|display|load|open|preview|show) (?:this|the|your)? ?(?:file|document|drawing|sheet|page|/\\S+)",
+            "loading (?:viewer|document|drawing|page|content)(?:…|\\.\\.\\.)",
+            "keyerror: '",
+        ],
+    ),
+    "filler": (
+        ["lorem", "ipsum", "asdf", "qwer", "test test", "blah", "filler", "goes here", "go here", "to be replaced", "in this", "a stub", "layout only", "will follow", "dummy"],
+        [
+            "(?<!such as )(?<!like )(?<!as in )(?<![\"“'])lorem ipsum(?! (?:must|is|was|should|and|or|text|may|in|on|at|to|has|can)\\b)",
+            "\\basdf\\w*\\b.{0,30}\\bqwer|\\bqwertz?y?\\b.{0,20}\\basdf",
+            "(?:\\btest\\b[ ,.]*){3,}",
+            "(?:\\b(?:blah|filler|text|more|dummy|sample)\\b[ ,.]*){6,}",
+            "(?:blah[ ,.]*){3,}",
+            "(?:text|content|copy|description|paragraph|body) goes here",
+            "sample (?:paragraph|text|content)[^.]{0,10} to be replaced",
+            "dummy (?:text|content|copy) for (?:layout|design|test)",
+            "(?:insert|write|enter|type|describe|add|give)\\b[^.]{3,80} in this (?:space|box|field|section|place)\\b",
+            "(?:section|page|paragraph|chapter|document) is (?:intentionally |deliberately )?(?:a stub|left as a stub|a placeholder)",
+            "content (?:will follow|to follow|to come|coming soon)\\b[. ]*(?:\\(draft|$)",
+        ],
+    ),
+}
+
+
+def _lines(text: Column) -> Column:
+    return F.split(text, f"[{T.LINE_BREAKS}]+")
+
+
+def _shape(line: Column) -> Column:
+    """A line without marks of lists and pages, lower-cased, with single spaces; hashed."""
+    return F.xxhash64(F.regexp_replace(F.lower(T.strip(line)), "[\\s\\p{Z}]+", " "))
+
+
+def boilerplate(docs: DataFrame) -> DataFrame:
+    """(host, lines): hashes of the recurrent lines of each host. There are at most (lines of a document) / SHARE of them a host."""
+    long = docs.where(F.length("text") >= SHORT)
+    totals = long.groupBy("host").agg(F.count("*").alias("docs"))
+    seen = long.select("host", F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.length(x) < 200), _shape))).alias("line"))
+    often = seen.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
+    return often.join(totals, "host").where(F.col("n") >= SHARE * F.col("docs")).groupBy("host").agg(F.collect_list("line").alias("often"))
+
+
+def _flow(lines: Column) -> Column:
+    """Lines as running text: words cut at line ends joined, white space single."""
+    joined = F.regexp_replace(F.array_join(lines, "\n"), "(?<=\\p{L})[-‐‑¬\\u00AD]\\s*\\n\\s*(?=\\p{Ll})", "")
+    return F.regexp_replace(joined, "[\\s\\p{Z}\\x{200B}\\x{FEFF}]+", " ")
+
+
+def evidence(documents: DataFrame, host_col: str = "domain") -> DataFrame:
+    """(doc_id, kind) of each document with evidence: placeholder, filler, error or script."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.trim(F.lower(F.col(host_col))), F.lit("")).alias("host"), "text").where(F.col("text").isNotNull())
+    often = small(cut(boilerplate(docs)))
+    left = docs.join(often, "host", "left").select(
+        "doc_id", _flow(F.filter(_lines(F.col("text")), lambda x: F.col("often").isNull() | ~F.array_contains("often", _shape(x)))).alias("t")
+    )
+    low = left.where(F.length("t") > 0).select("doc_id", "t", F.lower("t").alias("l"))
+    kinds = [F.when(F.col("t").rlike(PLACEHOLDER), F.lit("placeholder"))]
+    for kind, (hints, patterns) in EVIDENCE.items():
+        hint = F.lit(False)
+        for h in hints:
+            hint = hint | F.col("l").contains(h)
+        hit = hint & F.col("l").rlike("|".join(patterns))
+        if kind == "filler":
+            hit = hit | F.col("l").rlike(LATIN)
+        kinds.append(F.when(hit, F.lit(kind)))
+    return low.select("doc_id", F.explode(F.array_compact(F.array(*kinds))).alias("kind"))
+
+
+def found(documents: DataFrame) -> DataFrame:
+    """doc_id of the documents to be kept out."""
+    return evidence(documents).select("doc_id").distinct()
+
+
+def kept(documents: DataFrame) -> DataFrame:
+    """The documents without evidence."""
+    out = cut(found(documents))
+    return documents.join(small(out), "doc_id", "left_anti")
