@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..runtime import table
-from . import copies, encode, leaks, near, pieces, residue, together
+from . import copies, encode, leaks, near, pieces, residue, together, vectors
 
 
 def queries() -> dict:
@@ -14,6 +14,8 @@ def queries() -> dict:
         "p4_scores": lambda s, d: together.scored(table(s, d, "doc_equipment")),
         "p5_found": lambda s, d: pieces.oversized(table(s, d, "chunks")),
         "p5_pieces": lambda s, d: pieces.pieces(table(s, d, "chunks")),
+        "p6_found": lambda s, d: vectors.similar(table(s, d, "vchunks")),
+        "p6_ten": lambda s, d: vectors.ten(table(s, d, "vchunks")),
         "p7_found": lambda s, d: near.found(table(s, d, "chunks")),
         "p7_groups": lambda s, d: near.groups(table(s, d, "chunks")),
         "p8_ids": lambda s, d: encode.ids(table(s, d, "documents")),

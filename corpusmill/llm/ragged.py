@@ -67,3 +67,21 @@ def minima(hashes: np.ndarray, offsets: np.ndarray, slots: int, seed: int = 1) -
         for k in range(slots):
             out[some, k] = np.minimum.reduceat(((hashes * odd[k] + add[k]) >> np.uint64(32)).astype(np.uint32), starts)
     return out
+
+
+def pack(x: np.ndarray) -> pa.Array:
+    """Rows of a matrix as binary values."""
+    x = np.ascontiguousarray(x)
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * (x.shape[1] * x.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(x)])
+
+
+def unpack(column, kind, width: int) -> np.ndarray:
+    """The matrix back from a column of binary values without nulls."""
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    out = []
+    for c in chunks:
+        if len(c):
+            offsets = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+            out.append(np.frombuffer(c.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind).reshape(-1, width))
+    return np.concatenate(out) if out else np.zeros((0, width), kind)
