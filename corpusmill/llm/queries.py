@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from ..runtime import table
-from . import copies, encode, leaks, near, pieces, residue, together, vectors
+from . import copies, encode, history, leaks, near, pieces, residue, together, vectors
 
 
 def queries() -> dict:
     return {
+        "p1_found": lambda s, d: history.found(table(s, d, "documents"), table(s, d, "ingest_pending"), table(s, d, "staged_text")),
         "p2_found": lambda s, d: copies.copies(table(s, d, "chunks")),
         "p2_counts": lambda s, d: copies.counts(table(s, d, "chunks")),
         "p4_found": lambda s, d: together.notable(table(s, d, "doc_equipment")),
