@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..runtime import table
-from . import copies, encode, history, leaks, near, pieces, residue, together, vectors
+from . import copies, encode, history, leaks, near, pieces, residue, scans, together, vectors
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "p1_found": lambda s, d: history.found(table(s, d, "documents"), table(s, d, "ingest_pending"), table(s, d, "staged_text")),
         "p2_found": lambda s, d: copies.copies(table(s, d, "chunks")),
         "p2_counts": lambda s, d: copies.counts(table(s, d, "chunks")),
+        "p3_found": lambda s, d: scans.found(table(s, d, "chunks"), table(s, d, "documents")),
+        "p3_text": lambda s, d: scans.repaired(table(s, d, "chunks"), table(s, d, "documents")),
         "p4_found": lambda s, d: together.notable(table(s, d, "doc_equipment")),
         "p4_scores": lambda s, d: together.scored(table(s, d, "doc_equipment")),
         "p5_found": lambda s, d: pieces.oversized(table(s, d, "chunks")),
