@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 LINE_BREAKS = "\\n\\r\\x0B\\x0C\\x85\\u2028\\u2029"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often, and in whatever inner function, the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def nfkc(text: Column) -> Column:
     """Unicode NFKC, by the ICU library that ships with Spark; ASCII text is passed through."""
     plain = text.rlike("^[\\x00-\\x7F]*$")
@@ -34,7 +41,7 @@ def word_hashes(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, "^[\\s\\p{Z}]+|[\\s\\p{Z}]+$", "")
+    return F.regexp_replace(text, "^[\\t\\n\\x0B\\f\\r\\p{Z}]+|[\\t\\n\\x0B\\f\\r\\p{Z}]+$", "")
 
 
 def normalised(text: Column) -> Column:

@@ -16,9 +16,10 @@ DIM = 64
 def embed_text(text: Column, dim: int = DIM) -> Column:
     """Hashed bag of words of unit length, on the JVM; zeros for texts without words."""
     bins = F.transform(T.lexical_terms(F.coalesce(text, F.lit(""))), lambda w: F.pmod(F.xxhash64(w), F.lit(dim)))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(bins, lambda b: b == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+    counts = lambda b: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(b, lambda x: x == i)).cast("double"))
+    length = lambda r: F.sqrt(F.aggregate(r, F.lit(0.0), lambda a, x: a + x * x))
+    scaled = lambda r: T.let(length(r), lambda n: F.transform(r, lambda x: F.when(n > 0, x / n).otherwise(0.0).cast("float")))
+    return T.let(T.let(bins, counts), scaled)
 
 
 def embedder(fn: Callable[[list[str]], list[list[float]]]):

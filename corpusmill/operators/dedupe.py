@@ -23,8 +23,9 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def signature(text: Column, hashed=T.hash32) -> Column:
     """MinHash of 64 slots over the bottom 800 shingle hashes; ``hashed`` gives a 32-bit hash of a string column."""
-    hashes = bottom(F.transform(shingles(text), hashed), SHINGLE_CAP)
-    return F.transform(F.array(*[F.lit(s).cast("long") for s in SEEDS]), lambda s: F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(s))))
+    seeds = F.array(*[F.lit(s).cast("long") for s in SEEDS])
+    slots = lambda hashes: F.transform(seeds, lambda s: F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(s))))
+    return T.let(bottom(F.transform(shingles(text), hashed), SHINGLE_CAP), slots)
 
 
 def signatures(docs: DataFrame) -> DataFrame:

@@ -37,8 +37,12 @@ def phrases(queries: DataFrame) -> DataFrame:
 def _ngrams(terms: Column, n: int) -> Column:
     if n == 1:
         return terms
-    at = F.sequence(F.lit(1), F.size(terms) - n + 1)
-    return F.when(F.size(terms) >= n, F.transform(at, lambda i: F.array_join(F.slice(terms, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    def of(t: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+    return T.let(terms, of)
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, eligible: DataFrame | None = None) -> DataFrame:

@@ -50,9 +50,12 @@ def reassembled(chunks: DataFrame) -> DataFrame:
 
 def shingles(text: Column, k: int = 5) -> Column:
     """Set of runs of k tokens of the normalised text; a shorter text is one shingle itself, an empty one has none."""
-    t = F.split(text, " ")
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(t) - k + 1), lambda i: F.array_join(F.slice(t, i, k), " ")))
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.size(t) < k, F.array(text)).otherwise(runs)
+
+    def of(t: Column) -> Column:
+        runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(t) - k + 1), lambda i: F.array_join(F.slice(t, i, k), " ")))
+        return F.when(F.size(t) < k, F.array(F.array_join(t, " "))).otherwise(runs)
+
+    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(T.let(F.split(text, " "), of))
 
 
 def bottom(hashes: Column, most: int = 800) -> Column:
