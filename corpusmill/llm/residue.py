@@ -34,73 +34,85 @@ PLACEHOLDER = (
     f"|(?i:\\[\\s*(?:insert|enter|fill in|your|type|add|tbd|tbc|placeholder)\\b{_ANY}\\]|<\\s*(?:insert|enter|fill in|your|type|add|placeholder)\\b{_ANY}>"
     "|\\[[^\\[\\]\\n]{1,60}?\\bto be (?:completed|filled|added|confirmed|supplied)[^\\[\\]\\n]{0,20}\\]))"
 )
-LATIN = "(?i)(?:\\b(?:" + "|".join(sorted(SYLLABLES, key=lambda s: (-len(s), s))) + ")+\\b[\\s,.;]+){5,}"
-
-#: kind: words of which one must be there, and the patterns (over lower-cased text with single spaces).
-EVIDENCE: dict[str, tuple[list[str], list[str]]] = {
-    "script": (
-        ["script", "skript", "browser", "cookie", "active content"],
-        [
-            "<noscript",
-            "scripts? (?:is|are) (?:switched off|turned off|disabled|blocked|not enabled)",
-            "(?:enable|activate|allow|turn on|switch on)(?: \\w+){0,2} (?:java)?script(?:s|ing)?\\b(?: \\w+){0,4} (?:to|and|then) (?:see|view|load|reload|open|display|continue|read|use)",
-            "(?:will|does|can) ?not (?:run|work|load|open|display)(?: \\w+){0,3} without (?:java)?script",
-            "(?:java)?script(?:s|ing)? (?:is|are|must be) (?:required|needed|enabled|blocked)(?: \\w+){0,3} (?:to (?:see|view|load|open|display|continue|use)|in (?:this|your) browser)",
-            "(?:a )?cookies? (?:is|are) (?:missing|blocked|disabled|required)",
-            "your browser (?:blocks|does not support|has blocked|is not supported|cannot)",
-            "brauch\\w* aktivierte skripte|skripte (?:sind|müssen) (?:deaktiviert|aktiviert)|(?:aktivieren|erlauben) sie (?:java)?s[ck]ripte?",
-            "activez (?:les scripts|javascript)|les scripts (?:sont|doivent être) (?:désactivés|activés)",
-            "(?:active|habilite|permita) (?:los scripts|javascript)|los scripts están (?:desactivados|bloqueados)",
-            "スクリプトを有効|javascriptを有効",
-        ],
-    ),
-    "error": (
-        ["error", "found", "introuvable", "gefunden", "encontrada", "denied", "refus", "verweiger", "denegado", "session", "sitzung", "sesión", "traceback", "exist", "robot", "requests", "planned work", "maintenance", "could not", "couldn", "unable", "cannot", "<title>", "loading", "sign in", "log in", "forbidden", "timed out", "gateway", "アクセス", "ページ"],
-        [
-            "traceback \\(most recent call last\\)",
-            "<(?:title|h1)>\\s*(?:[45]\\d\\d\\b|error|gateway|forbidden|not found)",
+
+
+def branching(words: list[str]) -> str:
+    """A pattern for any of the words that tells them apart letter by letter, so that few alternatives are tried."""
+    if words == [""]:
+        return ""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            heads.setdefault(w[0], []).append(w[1:])
+    arms = [h + branching(sorted(t)) for h, t in sorted(heads.items())]
+    body = arms[0] if len(arms) == 1 else "(?:" + "|".join(arms) + ")"
+    return body if "" not in words else f"(?:{body})?"
+
+
+LATIN = f"\\b(?:(?:{branching(sorted(set(SYLLABLES)))})+[\\s,.;]+){{5,}}"
+
+#: kind: (what must be there, pattern), over lower-cased text with single spaces. The pattern is tried only where one of
+#: the plain strings before it occurs.
+EVIDENCE: dict[str, list[tuple[list[str], str]]] = {
+    "script": [
+        (["<noscript"], "<noscript"),
+        (["script"], "scripts? (?:is|are) (?:switched off|turned off|disabled|blocked|not enabled)"),
+        (["script"], "(?:enable|activate|allow|turn on|switch on)(?: \\w+){0,2} (?:java)?script(?:s|ing)?\\b(?: \\w+){0,4} (?:to|and|then) (?:see|view|load|reload|open|display|continue|read|use)"),
+        (["without script", "without javascript"], "(?:will|does|can) ?not (?:run|work|load|open|display)(?: \\w+){0,3} without (?:java)?script"),
+        (["script"], "(?:java)?script(?:s|ing)? (?:is|are|must be) (?:required|needed|enabled|blocked)(?: \\w+){0,3} (?:to (?:see|view|load|open|display|continue|use)|in (?:this|your) browser)"),
+        (["cookie"], "cookies? (?:is|are) (?:missing|blocked|disabled|required)"),
+        (["your browser"], "your browser (?:blocks|does not support|has blocked|is not supported|cannot)"),
+        (["skript", "javascript"], "brauch\\w* aktivierte skripte|skripte (?:sind|müssen) (?:deaktiviert|aktiviert)|(?:aktivieren|erlauben) sie (?:java)?s[ck]ripte?"),
+        (["script"], "activez (?:les scripts|javascript)|les scripts (?:sont|doivent être) (?:désactivés|activés)"),
+        (["script"], "(?:active|habilite|permita) (?:los scripts|javascript)|los scripts están (?:desactivados|bloqueados)"),
+        (["スクリプト", "javascript"], "スクリプトを有効|javascriptを有効"),
+    ],
+    "error": [
+        (["traceback ("], "traceback \\(most recent call last\\)"),
+        (["<title>", "<h1>"], "<(?:title|h1)>\\s*(?:[45]\\d\\d\\b|error|gateway|forbidden|not found)"),
+        (
+            [" not found", " forbidden", " unauthori", " bad ", " gone", " internal server", " unavailable", " gateway"],
             "(?:^|[.!?>\\]:] )\\s*[45]\\d\\d (?:not found|forbidden|unauthori[sz]ed|bad gateway|bad request|gone|internal server error|service unavailable|gateway time-?out)\\b",
-            "nothing is stored under /",
-            "\\berror [45]\\d\\d:",
-            "(?:service|server|site|host) (?:did not|does not|didn't|is not) (?:answer|respond|responding|reply)",
-            "page (?:you \\w+ \\w+ \\w+ )?(?:was |is |could |can )?(?:not (?:be )?found|missing)(?: or has \\w+)?\\. (?:the|check|go|return|back|it|path|nothing)",
-            "(?:item|page|document|file|drawing|sheet) you (?:were looking for|requested|asked for|want(?:ed)?)[^.]{0,20} (?:has|have|is|was|does|could|no longer|cannot)",
-            "page introuvable\\.? le |le chemin \\S+ n'existe plus",
-            "seite nicht gefunden\\.? der |der pfad \\S+ ist nicht (?:mehr )?vorhanden",
-            "página no encontrada\\.? la |la ruta \\S+ ya no existe",
-            "ページが見つかりません|アクセスが拒否|アクセスできません",
-            "access (?:is |was )?(?:denied|refused|forbidden)[.:!]",
-            "your account (?:may|can|does|is) ?not",
-            "you (?:do not|don't|are not) (?:have|allowed|authori[sz]ed|permi\\w+)(?: \\w+){0,3} (?:to (?:open|view|see|access)|permission|access)",
-            "acc[eè]s refusé (?:à|a|\\.|:)|veuillez vous (?:re)?connecter",
-            "zugriff verweigert(?: auf|\\.|:)|bitte (?:neu |erneut |wieder )?anmelden",
-            "acceso denegado(?: a|\\.|:)|(?:inicie|vuelva a iniciar) (?:la )?sesión",
-            "your (?:session|login|sign-in) (?:has|is) (?:ended|expired|timed out|closed)",
-            "(?:sign|log) in (?:again |first |here )?to (?:view|see|open|continue|read|load|access)",
-            "(?:service|site|server|system|viewer) is (?:down|closed|unavailable|offline) for (?:planned|scheduled|urgent) (?:work|maintenance)",
-            "too many requests\\.",
-            "(?:checking|verify|confirm|prove)(?:ing)? (?:that )?you are (?:not a robot|human|a human)",
+        ),
+        (["nothing is stored under /"], "nothing is stored under /"),
+        (["error "], "\\berror [45]\\d\\d:"),
+        (["service ", "server ", "site ", "host "], "(?:service|server|site|host) (?:did not|does not|didn't|is not) (?:answer|respond|responding|reply)"),
+        (["page "], "page (?:you \\w+ \\w+ \\w+ )?(?:was |is |could |can )?(?:not (?:be )?found|missing)(?: or has \\w+)?\\. (?:the|check|go|return|back|it|path|nothing)"),
+        ([" you "], "(?:item|page|document|file|drawing|sheet) you (?:were looking for|requested|asked for|want(?:ed)?)[^.]{0,20} (?:has|have|is|was|does|could|no longer|cannot)"),
+        (["introuvable", "n'existe plus"], "page introuvable\\.? le |le chemin \\S+ n'existe plus"),
+        (["nicht gefunden", "vorhanden"], "seite nicht gefunden\\.? der |der pfad \\S+ ist nicht (?:mehr )?vorhanden"),
+        (["no encontrada", "ya no existe"], "página no encontrada\\.? la |la ruta \\S+ ya no existe"),
+        (["ページが見つかりません", "アクセス"], "ページが見つかりません|アクセスが拒否|アクセスできません"),
+        (["access "], "access (?:is |was )?(?:denied|refused|forbidden)[.:!]"),
+        (["your account"], "your account (?:may|can|does|is) ?not"),
+        (["you do not", "you don't", "you are not"], "you (?:do not|don't|are not) (?:have|allowed|authori[sz]ed|permi\\w+)(?: \\w+){0,3} (?:to (?:open|view|see|access)|permission|access)"),
+        (["accès refusé", "acces refus", "veuillez vous"], "acc[eè]s refusé (?:à|a|\\.|:)|veuillez vous (?:re)?connecter"),
+        (["verweigert", "anmelden"], "zugriff verweigert(?: auf|\\.|:)|bitte (?:neu |erneut |wieder )?anmelden"),
+        (["denegado", "sesión"], "acceso denegado(?: a|\\.|:)|(?:inicie|vuelva a iniciar) (?:la )?sesión"),
+        (["your session", "your login", "your sign-in"], "your (?:session|login|sign-in) (?:has|is) (?:ended|expired|timed out|closed)"),
+        (["sign in ", "log in "], "(?:sign|log) in (?:again |first |here )?to (?:view|see|open|continue|read|load|access)"),
+        ([" is down for", " is closed for", " is unavailable for", " is offline for"], "(?:service|site|server|system|viewer) is (?:down|closed|unavailable|offline) for (?:planned|scheduled|urgent) (?:work|maintenance)"),
+        (["too many requests."], "too many requests\\."),
+        (["you are not a robot", "you are human", "you are a human"], "(?:checking|verify|confirm|prove)(?:ing)? (?:that )?you are (?:not a robot|human|a human)"),
+        (
+            ["could not ", "couldn't ", "cannot ", "can't ", "unable to ", "failed to "],
             "(?:could not|couldn't|cannot|can't|unable to|failed to) (?:convert|render|display|load|open|preview|show) (?:this|the|your)? ?(?:file|document|drawing|sheet|page|/\\S+)",
-            "loading (?:viewer|document|drawing|page|content)(?:…|\\.\\.\\.)",
-            "keyerror: '",
-        ],
-    ),
-    "filler": (
-        ["lorem", "ipsum", "asdf", "qwer", "test test", "blah", "filler", "goes here", "go here", "to be replaced", "in this", "a stub", "layout only", "will follow", "dummy"],
-        [
-            "(?<!such as )(?<!like )(?<!as in )(?<![\"“'])lorem ipsum(?! (?:must|is|was|should|and|or|text|may|in|on|at|to|has|can)\\b)",
-            "\\basdf\\w*\\b.{0,30}\\bqwer|\\bqwertz?y?\\b.{0,20}\\basdf",
-            "(?:\\btest\\b[ ,.]*){3,}",
-            "(?:\\b(?:blah|filler|text|more|dummy|sample)\\b[ ,.]*){6,}",
-            "(?:blah[ ,.]*){3,}",
-            "(?:text|content|copy|description|paragraph|body) goes here",
-            "sample (?:paragraph|text|content)[^.]{0,10} to be replaced",
-            "dummy (?:text|content|copy) for (?:layout|design|test)",
-            "(?:insert|write|enter|type|describe|add|give)\\b[^.]{3,80} in this (?:space|box|field|section|place)\\b",
-            "(?:section|page|paragraph|chapter|document) is (?:intentionally |deliberately )?(?:a stub|left as a stub|a placeholder)",
-            "content (?:will follow|to follow|to come|coming soon)\\b[. ]*(?:\\(draft|$)",
-        ],
-    ),
+        ),
+        (["loading "], "loading (?:viewer|document|drawing|page|content)(?:…|\\.\\.\\.)"),
+        (["keyerror: '"], "keyerror: '"),
+    ],
+    "filler": [
+        (["lorem ipsum"], "(?<!such as )(?<!like )(?<!as in )(?<![\"“'])lorem ipsum(?! (?:must|is|was|should|and|or|text|may|in|on|at|to|has|can)\\b)"),
+        (["asdf"], "\\basdf\\w*\\b.{0,30}\\bqwer|\\bqwertz?y?\\b.{0,20}\\basdf"),
+        (["test test"], "(?:\\btest\\b[ ,.]*){3,}"),
+        (["blah", "filler", "text text", "more text", "dummy"], "(?:\\b(?:blah|filler|text|more|dummy|sample)\\b[ ,.]*){6,}|(?:blah[ ,.]*){3,}"),
+        ([" goes here"], "(?:text|content|copy|description|paragraph|body) goes here"),
+        (["to be replaced"], "sample (?:paragraph|text|content)[^.]{0,10} to be replaced"),
+        (["dummy "], "dummy (?:text|content|copy) for (?:layout|design|test)"),
+        (["in this "], "(?:insert|write|enter|type|describe|add|give)\\b[^.]{3,80} in this (?:space|box|field|section|place)\\b"),
+        (["a stub", "a placeholder"], "(?:section|page|paragraph|chapter|document) is (?:intentionally |deliberately )?(?:a stub|left as a stub|a placeholder)"),
+        (["content "], "content (?:will follow|to follow|to come|coming soon)\\b[. ]*(?:\\(draft|$)"),
+    ],
 }
 
 
@@ -109,8 +121,8 @@ def _lines(text: Column) -> Column:
 
 
 def _shape(line: Column) -> Column:
-    """A line without marks of lists and pages, lower-cased, with single spaces; hashed."""
-    return F.xxhash64(F.regexp_replace(F.lower(T.strip(line)), "[\\s\\p{Z}]+", " "))
+    """A line in lower case with single spaces, trimmed; hashed."""
+    return F.xxhash64(F.lower(F.regexp_replace(F.trim(line), "\\s{2,}", " ")))
 
 
 def boilerplate(docs: DataFrame) -> DataFrame:
@@ -124,8 +136,9 @@ def boilerplate(docs: DataFrame) -> DataFrame:
 
 def _flow(lines: Column) -> Column:
     """Lines as running text: words cut at line ends joined, white space single."""
-    joined = F.regexp_replace(F.array_join(lines, "\n"), "(?<=\\p{L})[-‐‑¬\\u00AD]\\s*\\n\\s*(?=\\p{Ll})", "")
-    return F.regexp_replace(joined, "[\\s\\p{Z}\\x{200B}\\x{FEFF}]+", " ")
+    joined = F.regexp_replace(F.array_join(lines, "\n"), "[-‐‑¬\\u00AD](?<=\\p{L}.)\\s*\\n\\s*(?=\\p{Ll})", "")
+    blank = "\\s\\p{Z}\\x{200B}\\x{FEFF}"
+    return F.regexp_replace(joined, f"[{blank}&&[^ ]][{blank}]*| [{blank}]+", " ")  # single spaces stay as they are
 
 
 def evidence(documents: DataFrame, host_col: str = "domain") -> DataFrame:
@@ -135,13 +148,15 @@ def evidence(documents: DataFrame, host_col: str = "domain") -> DataFrame:
     left = docs.join(often, "host", "left").select(
         "doc_id", _flow(F.filter(_lines(F.col("text")), lambda x: F.col("often").isNull() | ~F.array_contains("often", _shape(x)))).alias("t")
     )
-    low = left.where(F.length("t") > 0).select("doc_id", "t", F.lower("t").alias("l"))
+    low = left.select("doc_id", "t", F.lower("t").alias("l"))
     kinds = [F.when(F.col("t").rlike(PLACEHOLDER), F.lit("placeholder"))]
-    for kind, (hints, patterns) in EVIDENCE.items():
-        hint = F.lit(False)
-        for h in hints:
-            hint = hint | F.col("l").contains(h)
-        hit = hint & F.col("l").rlike("|".join(patterns))
+    for kind, signs in EVIDENCE.items():
+        hit = F.lit(False)
+        for hints, pattern in signs:
+            hint = F.lit(False)
+            for h in hints:
+                hint = hint | F.col("l").contains(h)
+            hit = hit | (hint & F.col("l").rlike(pattern))
         if kind == "filler":
             hit = hit | F.col("l").rlike(LATIN)
         kinds.append(F.when(hit, F.lit(kind)))
