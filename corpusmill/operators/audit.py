@@ -126,7 +126,7 @@ def dpi(width_in: Column, height_in: Column, wanted: int = 200, cap: int = 20_00
 
 def content_signature(df: DataFrame) -> DataFrame:
     """(rows, signature): independent of order and partitioning; equal for equal contents."""
-    cols = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(df.columns)]
+    cols = [F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in sorted(df.columns)]
     h = F.sha2(F.concat_ws("\x1f", *cols), 256)
     parts = [F.sum(F.conv(F.substring(h, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(4)]
     return df.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws(",", *parts), 256).alias("signature"))

@@ -42,6 +42,25 @@ def payload(text: Column) -> Column:
     return F.from_json(F.to_json(json), PAYLOAD)
 
 
+def extracted(inputs: DataFrame, model) -> DataFrame:
+    """(document_id, p): what a model says of each document's input; replies that hold no object are left out.
+
+    inputs: (doc_id, input), as audit.entity_input gives them; model: an expression from models.text_model.
+    """
+    said = inputs.select(F.col("doc_id").alias("document_id"), model(F.col("input")).alias("reply"))
+    return said.select("document_id", payload(F.col("reply")).alias("p")).where("p is not null")
+
+
+def adjudicated(pairs: DataFrame, model) -> DataFrame:
+    """(a, b, shared, same, confidence, status): a model's judgement of each proposal; one that fails counts as not the same.
+
+    pairs: (a, b, shared, question); the model replies with an object of same and confidence.
+    """
+    reply = F.from_json(F.regexp_extract(F.coalesce(model(F.col("question")), F.lit("")), "(?s)(\\{.*\\})", 1), "same boolean, confidence double")
+    j = pairs.withColumn("r", reply)
+    return j.select("a", "b", "shared", F.coalesce(F.col("r.same").cast("int"), F.lit(0)).alias("same"), F.coalesce("r.confidence", F.lit(0.0)).alias("confidence"), F.lit("proposed").alias("status"))
+
+
 def registry_keys(entities: DataFrame) -> DataFrame:
     """(document_id, key, name, make, model, aliases, tags): make and model, else make and first equipment; one more for each valid tag.
 

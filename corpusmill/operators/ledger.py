@@ -41,6 +41,20 @@ def attempts(log: DataFrame, key: str, order: list[str], action: str = "action")
     return folded.select(key, "attempts", ((F.col("ended") > 0) | (F.col("attempts") >= MAX_ATTEMPTS)).alias("done"))
 
 
+def requeued(queue: DataFrame, order: list[str], log: DataFrame | None = None) -> DataFrame:
+    """src of the re-extraction queue's open requests: the last record of each source counts; what the log shows as processed since is closed."""
+    last = latest(queue, "src", order).where(F.col("action") == "requested")
+    if log is None:
+        return last.select("src")
+    done = log.where(F.col("action") == "processed").groupBy("src").agg(F.max("ts").alias("done"))
+    return last.join(done, "src", "left").where(F.col("done").isNull() | (F.col("done") < F.col("ts"))).select("src")
+
+
+def retry_requests(dead: DataFrame) -> DataFrame:
+    """Log records that let dead letters be tried again."""
+    return dead.select("src", F.lit("retry_requested").alias("action"), F.current_timestamp().alias("ts"))
+
+
 def reconciled(document: Column, curated_ok: Column, source_ok: Column) -> tuple[Column, Column]:
     """(decision, retry) at start-up for a pending row: reconciled, curated, staged or dead_letter."""
     decision = F.when(document & curated_ok, "reconciled").when(curated_ok, "curated").when(source_ok, "staged").otherwise("dead_letter")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..runtime import small
+from ..runtime import cut, small
 
 K1, B, IDF_FLOOR, RRF_K = 1.2, 0.75, 1e-6, 60
 #: Query vectors sent to the executors at a time; more are worked in several passes.
@@ -118,22 +118,42 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return top(distances(queries, vectors, k), k, "asc", by="distance")
 
 
+def _arm(ranked_from: DataFrame, eligible: DataFrame, pool: int, first: int, total: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with global rank g and count e of eligible ones so far, reach of each query)."""
+    all_ = ranked_from.join(small(eligible.select("chunk_id").distinct().withColumn("ok", F.lit(True))), "chunk_id", "left")
+    w = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
+    ranked = all_.withColumn("g", F.row_number().over(w)).withColumn("e", F.sum(F.when(F.col("ok"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    need = ranked.groupBy("query_id").agg(F.min(F.when(F.col("e") >= pool, F.col("g"))).alias("need"))
+    doubled = (first * F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(F.col("need") / first))))).cast("long")
+    return ranked, need.select("query_id", F.when(F.col("need").isNull(), F.lit(total)).otherwise(F.least(F.lit(total), doubled)).alias("reach"))
+
+
 def eligible_arm(queries: DataFrame, vectors: DataFrame, eligible: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, distance, pos): the eligible rows an over-fetch that doubles until it has a full pool would hold.
 
     The fetch starts at max(pool, 8k) rows of all and doubles until pool eligible rows are among them; the arm is every
-    eligible row of the last fetch, pos counts from 0.
+    eligible row of the last fetch, pos counts from 0. Sixteen times the first fetch serves nearly all queries; only those
+    that it doesn't are worked over all distances.
     """
     pool = pool_size(k)
     first = max(pool, 8 * k)
-    all_ = distances(queries, vectors).join(small(eligible.select("chunk_id").distinct().withColumn("ok", F.lit(True))), "chunk_id", "left")
+    fetch, total = 16 * first, vectors.count()
+
+    def arm(rows: DataFrame, reach: DataFrame) -> DataFrame:
+        return rows.join(reach, "query_id").where(F.col("ok") & (F.col("g") <= F.col("reach"))).select("query_id", "chunk_id", "distance", (F.col("e") - 1).cast("int").alias("pos"))
+
     w = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    ranked = all_.withColumn("g", F.row_number().over(w)).withColumn("e", F.sum(F.when(F.col("ok"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    need = ranked.groupBy("query_id").agg(F.min(F.when(F.col("e") >= pool, F.col("g"))).alias("need"), F.max("g").alias("total"))
-    reach = F.when(F.col("need").isNull(), F.col("total")).otherwise(
-        F.least("total", (first * F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(F.col("need") / first))))).cast("long"))
-    )
-    return ranked.join(need, "query_id").where(F.col("ok") & (F.col("g") <= reach)).select("query_id", "chunk_id", "distance", (F.col("e") - 1).cast("int").alias("pos"))
+    near = distances(queries, vectors, fetch).withColumn("n", F.row_number().over(w)).where(F.col("n") <= fetch).drop("n")
+    near = cut(near)
+    ranked, reach = _arm(near, eligible, pool, first, total)
+    if total <= fetch:
+        return arm(ranked, reach)
+    served = cut(reach.where(F.col("reach") <= fetch))
+    rest = queries.join(small(served.select("query_id")), "query_id", "left_anti")
+    out = arm(ranked, served)
+    if rest.isEmpty():
+        return out
+    return out.union(arm(*_arm(distances(rest, vectors), eligible, pool, first, total)))
 
 
 # ---- fusion ---------------------------------------------------------------------------------------------------------

@@ -313,5 +313,7 @@ SELECT id AS doc_id, component AS cluster, count(*) OVER (PARTITION BY component
         SELECT document_id, CASE WHEN document_id % 13 = 0 THEN 'describe_error' WHEN NOT o + document_id % 5 * 100 > o + 200 THEN 'no_gain' WHEN document_id % 7 = 0 THEN 'swap_error' ELSE 'described' END AS action FROM n""",
     "dpi_cap": """WITH p AS (SELECT p_partkey, p_size * 1.5::DOUBLE * 300 * (p_size * 0.9::DOUBLE) * 300 AS px FROM part)
         SELECT p_partkey, CASE WHEN px > 20000000 THEN greatest(50, floor(300 * sqrt(20000000 / px) * 0.95)::INT) ELSE 300 END AS dpi FROM p""",
+    "content_signature": """WITH h AS (SELECT sha256(concat_ws(chr(31), doc_id::VARCHAR, coalesce(rel_path, chr(1)), coalesce(sha256, chr(1)), coalesce(text, chr(1)))) AS h FROM documents)
+        SELECT count(*) AS rows, sha256(concat_ws(',', sum(('0x' || substr(h, 1, 12))::BIGINT)::VARCHAR, sum(('0x' || substr(h, 13, 12))::BIGINT)::VARCHAR, sum(('0x' || substr(h, 25, 12))::BIGINT)::VARCHAR, sum(('0x' || substr(h, 37, 12))::BIGINT)::VARCHAR)) AS signature FROM h""",
     "fold_unicode": f"SELECT doc_id, md5({ascii_('text')}) AS digest FROM documents WHERE text IS NOT NULL",
 }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import itertools
 import json
 import os
 import re
@@ -231,6 +233,49 @@ def promoted_names(files: DataFrame) -> DataFrame:
     return n.withColumn("dest", F.concat_ws("/", "dir", name)).drop("n", "m")
 
 
+def digest_of(path: str) -> str:
+    h = hashlib.sha256()
+    with open(path, "rb") as f:
+        while block := f.read(2**20):
+            h.update(block)
+    return h.hexdigest()
+
+
+def promote(source: str, dest: str, sha256: str) -> str:
+    """Copies a file into the curated store: a temporary copy, flushed, checked against its digest, then renamed.
+
+    A taken name with other content gets ``__`` and eight digits of the digest, then a number. Gives the name used; a file
+    that is there already isn't copied again.
+    """
+    root, ext = os.path.splitext(dest)
+    names = itertools.chain([dest, f"{root}__{sha256[:8]}{ext}"], (f"{root}__{sha256[:8]}_{n}{ext}" for n in itertools.count(2)))
+    for name in names:
+        if not os.path.exists(name):
+            break
+        if digest_of(name) == sha256:
+            return name
+    os.makedirs(os.path.dirname(name) or ".", exist_ok=True)
+    part = f"{name}.part-{uuid.uuid4().hex[:8]}"
+    try:
+        shutil.copyfile(source, part)
+        with open(part, "rb+") as f:
+            os.fsync(f.fileno())
+        if digest_of(part) != sha256:
+            raise OSError(f"digest of {source} changed")
+        os.replace(part, name)
+    finally:
+        if os.path.exists(part):
+            os.remove(part)
+    return name
+
+
+def quarantine(source: str, folder: str, sha256: str) -> str:
+    """Promotes a file into quarantine, then removes it from the inbox."""
+    name = promote(source, os.path.join(folder, os.path.basename(source)), sha256)
+    os.remove(source)
+    return name
+
+
 class Snapshots:
     """Tables as immutable snapshot folders with a pointer that is swapped atomically: readers see all of a commit or nothing."""
 

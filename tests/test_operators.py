@@ -137,3 +137,19 @@ def test_empty_tables(spark):
     assert retrieval.bm25(q, chunks).count() == 0
     assert retrieval.distances(q, spark.createDataFrame([], "chunk_id long, vector array<float>")).count() == 0
     assert segmentation.reassembled(chunks).count() == 0
+
+
+def test_models_are_injected(spark):
+    from corpusmill.models import text_model
+
+    said = entities.extracted(spark.createDataFrame([(1, "one"), (2, "bad")], "doc_id long, input string"), text_model(lambda t: 'ok {"make": "M"}' if t == "one" else 1 / 0))
+    assert [(r.document_id, r.p.make) for r in said.collect()] == [(1, "M")]
+    pairs = spark.createDataFrame([(1, 2, 3, "x"), (3, 4, 3, "y")], "a long, b long, shared long, question string")
+    got = entities.adjudicated(pairs, text_model(lambda t: '{"same": true, "confidence": 0.95}' if t == "x" else "?"))
+    assert values(got, "a", "same", "confidence") == [(1, 1, 0.95), (3, 0, 0.0)]
+
+
+def test_requeue_takes_the_last_record(spark):
+    q = spark.createDataFrame([("a", "requested", 1), ("b", "requested", 1), ("b", "cancelled", 2), ("c", "requested", 1)], "src string, action string, ts int")
+    log = spark.createDataFrame([("c", "processed", 5)], "src string, action string, ts int")
+    assert values(ledger.requeued(q, ["ts"], log), "src") == [("a",)]

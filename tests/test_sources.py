@@ -73,3 +73,14 @@ def test_ingest_is_restartable(spark, tmp_path):
     assert store.read("documents").count() == 2 and store.verified()
     store.copy(str(tmp_path / "backup"))
     assert files.Snapshots(spark, str(tmp_path / "backup")).verified() and os.path.exists(tmp_path / "backup" / "CURRENT")
+
+
+def test_promotion_and_quarantine(tmp_path):
+    (tmp_path / "a.txt").write_text("one")
+    (tmp_path / "b.txt").write_text("two")
+    one, two = files.digest_of(tmp_path / "a.txt"), files.digest_of(tmp_path / "b.txt")
+    dest = str(tmp_path / "cur" / "x.txt")
+    assert files.promote(str(tmp_path / "a.txt"), dest, one) == dest == files.promote(str(tmp_path / "a.txt"), dest, one)
+    assert files.promote(str(tmp_path / "b.txt"), dest, two) == str(tmp_path / "cur" / f"x__{two[:8]}.txt")
+    files.quarantine(str(tmp_path / "a.txt"), str(tmp_path / "q"), one)
+    assert not (tmp_path / "a.txt").exists() and (tmp_path / "q" / "a.txt").read_text() == "one"
