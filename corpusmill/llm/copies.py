@@ -5,7 +5,7 @@ key of which a third of all rows are copies is spread over several partitions. E
 the full keys of neighbouring rows; runs that reach over the end of a partition are put together from one row per
 partition.
 
-Defined results: null texts and texts without words have no key and are left out; a row delivered twice (same id and
+Defined results: null ids, null texts and texts without words are left out; a row delivered twice (same id and
 key) counts once; ties are broken by the smaller id; other columns are ignored. A text is a register record if it is
 made wholly of three or more fields; an empty value is a value without words. A record and a text that isn't one are
 copies too if their words are the same.
@@ -48,7 +48,7 @@ def keyed(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> Da
     may = t.rlike("[:=]") & t.rlike(f"(?s){FIELD_BREAKS}.*{FIELD_BREAKS}")
     key = F.when(F.col("f").isNotNull(), F.concat(F.lit("F"), "f")).otherwise(F.concat(F.lit("W"), "words"))
     return (
-        df.where(t.isNotNull())
+        df.where(t.isNotNull() & F.col(id_col).isNotNull())
         .select(F.col(id_col).cast("long").alias("id"), T.words(t).alias("w"), F.when(may, field_key(t)).alias("f"))
         .where(F.size("w") > 0)
         .select("id", F.array_join("w", " ").alias("words"), "f")

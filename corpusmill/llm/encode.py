@@ -5,7 +5,7 @@ character each, scored by its negative rank, with identity normalisation. Mergin
 score is then the same as merging the pair of the lowest rank. Texts are parted into pre-tokens on the JVM; each distinct
 pre-token of a batch is encoded once.
 
-Defined results: null and empty texts give an empty list; the strings of special tokens are ordinary text.
+Defined results: every row gives one row, also of a null id; null and empty texts give an empty list; the strings of special tokens are ordinary text.
 """
 
 from __future__ import annotations

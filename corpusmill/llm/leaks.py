@@ -4,7 +4,7 @@ Winnowing: of every window of consecutive k-gram hashes the least (the rightmost
 at least k + window - 1 words has a fingerprint in common. Fingerprints of both sides are joined; each hit is extended in
 both directions over equal words, and runs that are long enough are reported.
 
-Defined results: null and short texts have no fingerprints; an item without a passage is searched by its question alone;
+Defined results: null ids are left out; null and short texts have no fingerprints; an item without a passage is searched by its question alone;
 repeated rows count once; an empty side gives no rows.
 """
 
@@ -75,7 +75,8 @@ def extend(doc: np.ndarray, item: np.ndarray, d: int, g: int, k: int = K) -> tup
 def spans(documents: DataFrame, gold: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, gold_id, field, doc_start, item_start, length): every shared run of at least ``least`` words, in words."""
     fields = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("t")) for c in ("q", "passage"))))
-    items = gold.select(F.col("gold_id").cast("string").alias("gold_id"), fields.alias("f")).select("gold_id", "f.field", F.col("f.t").alias("t")).where("t is not null").dropDuplicates()
+    documents = documents.where("doc_id is not null")
+    items = gold.where("gold_id is not null").select(F.col("gold_id").cast("string").alias("gold_id"), fields.alias("f")).select("gold_id", "f.field", F.col("f.t").alias("t")).where("t is not null").dropDuplicates()
     items = cut(items.select("gold_id", "field", T.word_hashes(F.col("t")).alias("w")))
     test = fingerprints(items, ["gold_id", "field"]).withColumnRenamed("pos", "g").distinct()
     docs = documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), T.word_hashes(F.col("text")).alias("w"))

@@ -9,7 +9,7 @@ distance meets under a common key. Pairs that meet are compared by a wider sketc
 Texts with the same words are one representative until the end; keys under which very many texts meet are compared block
 by block in separate tasks, so nothing is dropped or capped.
 
-Defined results: null texts and texts of fewer than MIN_WORDS words are similar to nothing; a row delivered twice counts
+Defined results: null ids, null texts and texts of fewer than MIN_WORDS words are similar to nothing; a row delivered twice counts
 once; copies in the sense of problem 2 are no pairs.
 """
 
@@ -206,7 +206,7 @@ def near_pairs(df: DataFrame, threshold: float = 0.8, id_col: str = "chunk_id",
     t = F.col(text_col)
     record = t.rlike("[:=]") & t.rlike("(?s)[\\n\\t|;\\r].*[\\n\\t|;\\r]")
     rows = cut(
-        df.where(t.isNotNull())
+        df.where(t.isNotNull() & F.col(id_col).isNotNull())
         .select(F.col(id_col).cast("long").alias("id"), T.word_hashes(t).alias("w"), F.when(record, field_key(t)).alias("f"))
         .where(F.size("w") >= MIN_WORDS)
         .select("id", "w", F.xxhash64("w").alias("h"), F.xxhash64(F.lit(1), "w").alias("h2"), F.when(F.col("f").isNotNull(), F.xxhash64("f")).alias("fk"))

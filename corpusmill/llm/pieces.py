@@ -4,7 +4,7 @@ A text is parted by a hierarchy of separators: section, paragraph, sentence, wor
 is parted by the next one. The parts are packed greedily; every piece after the first begins exactly ``overlap``
 characters before the end of the piece before it, so the text can be put together again from the pieces.
 
-Defined results: null texts and texts of at most ``limit`` characters give no pieces; a row delivered twice counts once;
+Defined results: null ids, null texts and texts of at most ``limit`` characters give no pieces; a row delivered twice counts once;
 lengths are Unicode code points.
 """
 
@@ -70,7 +70,7 @@ def pieces(df: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFra
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["chunk_id", "seq", "piece", "start", "text"])
 
-    long = df.where(F.length("text") > limit).select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("seq").cast("int").alias("seq"), "text")
+    long = df.where((F.length("text") > limit) & F.col("chunk_id").isNotNull()).select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("seq").cast("int").alias("seq"), "text")
     return long.dropDuplicates().mapInArrow(split, "chunk_id long, seq int, piece int, start int, text string")
 
 

@@ -7,7 +7,7 @@ the form such a message has (it addresses the reader or names the thing asked fo
 don't match; quoted placeholders are mentions, not residue.
 
 Only documents longer than SHORT count towards boilerplate: an error page that stands alone never makes its own lines
-recurrent. Defined results: null, empty and blank texts are no case; a null domain is a host of its own.
+recurrent. Defined results: null ids and null, empty and blank texts are no case; a null domain is a host of its own.
 """
 
 from __future__ import annotations
@@ -143,7 +143,7 @@ def _flow(lines: Column) -> Column:
 
 def evidence(documents: DataFrame, host_col: str = "domain") -> DataFrame:
     """(doc_id, kind) of each document with evidence: placeholder, filler, error or script."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.trim(F.lower(F.col(host_col))), F.lit("")).alias("host"), "text").where(F.col("text").isNotNull())
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.trim(F.lower(F.col(host_col))), F.lit("")).alias("host"), "text").where("text is not null and doc_id is not null")
     often = small(cut(boilerplate(docs)))
     left = docs.join(often, "host", "left").select(
         "doc_id", _flow(F.filter(_lines(F.col("text")), lambda x: F.col("often").isNull() | ~F.array_contains("often", _shape(x)))).alias("t")

@@ -7,7 +7,7 @@ intersecting a Levenshtein automaton with the trie of the vocabulary, which find
 that customary misreadings explain are ranked by the number of misreadings, by their neighbours in the text and by
 frequency. Then the furniture is taken out and the lines are put together to paragraphs.
 
-Defined results: null and empty texts and chunks of documents that weren't scanned give nothing; a row delivered twice
+Defined results: null ids, null and empty texts and chunks of documents that weren't scanned give nothing; a row delivered twice
 counts once; ``[Page N]`` markers and headings stay; ties are broken by the alphabet.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..runtime import cut, small
 
 #: A word of the vocabulary stands this often in texts that weren't scanned; a title in so many documents.
-COMMON, TITLES = 3, 5
+COMMON, TITLES, SHARE = 3, 5, 0.0005
 #: Words of one shard of the vocabulary's trie.
 TRIE_WORDS = 200_000
 HYPHENS = "-‐‑¬\xad"
@@ -247,12 +247,15 @@ def scanned(documents: DataFrame) -> DataFrame:
 def titles_of(chunks: DataFrame) -> list[str]:
     """Skeletons of the titles that stand behind a tag in many documents' headings.
 
-    There are at most as many as headings divided by TITLES, in practice the kinds of documents; the fetch is bounded.
+    A title stands in at least TITLES documents and in SHARE of all; as a chunk shows at most three lines, that bounds their
+    number whatever the size of the corpus.
     """
     title = F.regexp_extract("line", f"^(?:\\[Page \\d+\\]\\s*)?#+\\s+[A-Z]{{1,5}}-\\d+\\s+(\\S.{{2,60}}?)\\s*$", 1)
     lines = chunks.where(F.col("text").contains("#")).select("document_id", F.explode(F.slice(F.split("text", "[\\n\\r]+"), 1, 3)).alias("line"))
-    seen = lines.select("document_id", F.lower(title).alias("title")).where("title <> ''").groupBy("title").agg(F.approx_count_distinct("document_id").alias("n"))
-    return sorted({skeleton(r[0]) for r in seen.where(F.col("n") >= TITLES).orderBy(F.desc("n"), "title").limit(5000).collect()})
+    told = lines.select("document_id", F.lower(title).alias("title")).where("title <> ''").distinct()
+    seen = told.groupBy("title").agg(F.count("*").alias("n"))
+    most = seen.agg(F.sum("n")).first()[0] or 0
+    return sorted({skeleton(r[0]) for r in seen.where(F.col("n") >= max(TITLES, SHARE * most)).select("title").collect()})
 
 
 def vocabulary(clean: DataFrame) -> DataFrame:
@@ -302,7 +305,7 @@ def corrections(unknown: DataFrame, words: DataFrame) -> DataFrame:
 def noise(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """(chunk_id, kind, item, raw): all noise of the scanned chunks; raw is what stands in the text (for split, the halves)."""
     ids = small(cut(scanned(documents)))
-    rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("document_id").cast("long").alias("document_id"), "text").where("text is not null")
+    rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("document_id").cast("long").alias("document_id"), "text").where("text is not null and chunk_id is not null")
     titles = titles_of(rows)
     words = cut(vocabulary(rows.join(ids, "document_id", "left_anti")))
     seen = cut(_read_all(rows.join(ids, "document_id", "left_semi"), titles))
@@ -391,7 +394,7 @@ def mend(text: str, titles: set[str], right: dict[str, str], whole: dict[str, st
 def repaired(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """(chunk_id, text): the scanned chunks as continuous paragraphs."""
     ids = small(cut(scanned(documents)))
-    rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("document_id").cast("long").alias("document_id"), "text").where("text is not null")
+    rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("document_id").cast("long").alias("document_id"), "text").where("text is not null and chunk_id is not null")
     titles = set(titles_of(rows))
     fixes = noise(chunks, documents).where("kind in ('split', 'misread')").groupBy("chunk_id").agg(F.collect_list(F.struct("kind", "raw", "item")).alias("fixes"))
     held = rows.join(ids, "document_id", "left_semi").select("chunk_id", "text").dropDuplicates().join(fixes, "chunk_id", "left")
