@@ -43,6 +43,10 @@ class Cells:
         salts = np.maximum(1, np.ceil(share * most / queries)).astype(np.int64)
         return cls(c, subs, salts, most, margin)
 
+    def tasks(self, least: int) -> int:
+        """Partitions for work on shards: about one for each, so that a task's size is that of a shard."""
+        return max(least, min(20_000, int((self.subs * self.salts).sum())))
+
     def near(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(cells, ok): the nearest cells of each vector, nearest first, and which of them are to be probed."""
         s = x @ self.centroids.T

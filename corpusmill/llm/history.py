@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..runtime import cut, small
+from ..runtime import cut, parts, small
 from .cells import Cells
 from .graph import beam_search, build, entry_points, nearest
 from .near import MIN_WORDS, shingle_set
@@ -132,7 +132,9 @@ def build_shards(rows: DataFrame, cells: Cells, segments: dict[int, list[tuple[i
         return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["start", "size", "cell", "sub", "ids", "ords", "v", "graph"])
 
     # points are needed once, not for each part of the queries
-    return _deal(rows, cells, segments, True).where("salt = 0").groupBy("start", "size", "cell", "sub").applyInArrow(work, SHARD)
+    key = ["start", "size", "cell", "sub"]
+    n = cells.tasks(parts(rows.sparkSession))
+    return _deal(rows, cells, segments, True).where("salt = 0").repartition(n, *key).groupBy(*key).applyInArrow(work, SHARD)
 
 
 def ask_shards(shards: DataFrame, rows: DataFrame, cells: Cells, segments: dict[int, list[tuple[int, int]]], floor: float = FLOOR, width: int = WIDTH) -> DataFrame:
@@ -156,6 +158,8 @@ def ask_shards(shards: DataFrame, rows: DataFrame, cells: Cells, segments: dict[
         keep = ords[found] < qo[r]
         return pa.table({"id": qi[r][keep], "met": ids[found][keep], "cosine": s[r, c][keep].astype(np.float64)})
 
+    n = cells.tasks(parts(rows.sparkSession))  # by size alone AQE would put many shards, long in work, into one task
+    salted, asked = salted.repartition(n, *key[:4], "part"), asked.repartition(n, *key)
     return salted.groupBy(*key[:4], "part").cogroup(asked.groupBy(*key)).applyInArrow(work, "id long, met long, cosine double")
 
 
@@ -233,7 +237,7 @@ def near_files(documents: DataFrame, files: DataFrame, staged: DataFrame, thresh
     if not ranks:
         return files.select("pending_id").limit(0)
     rank = F.create_map(*[F.lit(x).cast("long") for kv in ranks.items() for x in kv])[F.col("batch_id")]
-    docs = documents.select((F.col("doc_id").cast("long") * 2).alias("id"), F.col("doc_id").cast("long").alias("ord"), F.lit(-1).cast("long").alias("batch"), "text")
+    docs = documents.where("doc_id is not null").select((F.col("doc_id").cast("long") * 2).alias("id"), F.col("doc_id").cast("long").alias("ord"), F.lit(-1).cast("long").alias("batch"), "text")
     texts = staged.select(F.col("pending_id").cast("long").alias("pending_id"), "text").where("text is not null").dropDuplicates(["pending_id"]).join(files, "pending_id")
     new = texts.select((F.col("pending_id") * 2 + 1).alias("id"), ((rank + 1) * 2**44 + F.col("pending_id")).alias("ord"), rank.alias("batch"), "text")
     rows = cut(vectors(docs.unionByName(new)))

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import parts
 from .cells import Cells
 from .graph import beam_search, build, entry_points
 from .ragged import flat, pack, unpack
@@ -50,7 +51,7 @@ def _sample(rows: DataFrame, dim: int, n: int) -> np.ndarray:
 
 
 def neighbours(
-    df: DataFrame, k: int = 10, width: int = 64, most: int = 8, margin: float = 0.2, least: float = -2.0, again: bool = True, id_col: str = "chunk_id", vector_col: str = "embedding", dim: int = DIM
+    df: DataFrame, k: int = 10, width: int = 48, most: int = 5, margin: float = 0.15, least: float = -2.0, again: bool = True, id_col: str = "chunk_id", vector_col: str = "embedding", dim: int = DIM
 ) -> DataFrame:
     """(id, neighbour, similarity): up to k neighbours of each vector with at least the similarity ``least``.
 
@@ -116,6 +117,8 @@ def neighbours(
         return pa.table({"id": a[keep], "neighbour": b[keep], "similarity": s[keep].astype(np.float64)})
 
     dealt = rows.mapInArrow(deal, "cell long, sub long, salt long, id long, indexed boolean, asked boolean, v binary")
+    # a number of one's own: by size alone AQE would put many shards, small but long in work, into one task
+    dealt = dealt.repartition(cells.tasks(parts(df.sparkSession)), "cell", "sub", "salt")
     found = dealt.groupBy("cell", "sub", "salt").applyInArrow(search, "id long, neighbour long, similarity double")
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
     once = found.groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
