@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,17 +25,29 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     return t.groupBy(F.sha1("t").alias("digest")).agg(F.count("*").alias("members"), F.min("doc_id").alias("least_id")).where("members > 1")
 
 
-def signature(text: Column, hashed=T.hash32) -> Column:
-    """MinHash of 64 slots over the bottom 800 shingle hashes; ``hashed`` gives a 32-bit hash of a string column."""
-    seeds = F.array(*[F.lit(s).cast("long") for s in SEEDS])
-    slots = lambda hashes: F.transform(seeds, lambda s: F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(s))))
-    return T.let(bottom(F.transform(shingles(text), hashed), SHINGLE_CAP), slots)
+def hashes(text: Column, hashed=T.hash32) -> Column:
+    """The bottom 800 shingle hashes; ``hashed`` gives a 32-bit hash of a string column."""
+    return bottom(F.transform(shingles(text), hashed), SHINGLE_CAP)
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        lists = b.column(1)
+        n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        values, starts = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(n) - n
+        sig = np.stack([np.minimum.reduceat(values ^ np.int64(s), starts) for s in SEEDS], 1) if len(n) else np.zeros((0, SLOTS), np.int64)
+        offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * SLOTS)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(sig.ravel()))], names=["doc_id", "sig"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, sig) of documents of at least 300 normalised characters."""
-    t = docs.select("doc_id", T.normalised(F.col("text")).alias("t")).where(F.length("t") >= NEAR_CHARS)
-    return t.select("doc_id", signature(F.col("t")).alias("sig"))
+    """(doc_id, sig) of documents of at least 300 normalised characters: MinHash of 64 slots, the least of hash xor salt.
+
+    Shingles are hashed on the JVM; the minima are taken in Arrow batches, an inner function being interpreted element by
+    element and many times slower.
+    """
+    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), T.normalised(F.col("text")).alias("t")).where(F.length("t") >= NEAR_CHARS)
+    return t.select("doc_id", hashes(F.col("t")).alias("h")).mapInArrow(_slots, "doc_id long, sig array<long>")
 
 
 def estimate(a: Column, b: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import answers, audit, dedupe, entities, evaluation, ledger, retrieval, revisions, segmentation
-from ..runtime import table
+from ..runtime import spread, table
 from ..sources import files
 from . import oracle
 
@@ -17,9 +17,18 @@ def _docs(s, d):
     return table(s, d, "documents")
 
 
+def _texts(s, d):
+    """(doc_id, text), over all cores."""
+    return spread(_docs(s, d).select("doc_id", "text"))
+
+
+def _chunks(s, d):
+    return spread(table(s, d, "chunks").select("chunk_id", "document_id", "seq", "text"))
+
+
 def _usable(s, d):
     """(chunk_id, vector) of vectors of full length, each chunk once."""
-    v = table(s, d, "vchunks").where("size(embedding) = 64 and not exists(embedding, x -> x is null or isnan(x))")
+    v = spread(table(s, d, "vchunks")).where("size(embedding) = 64 and not exists(embedding, x -> x is null or isnan(x))")
     return v.select("chunk_id", F.col("embedding").alias("vector")).dropDuplicates(["chunk_id"])
 
 
@@ -45,30 +54,30 @@ def domain_zero_fill(s, d):
 
 
 def chunk_windows(s, d):
-    return segmentation.chunked(_docs(s, d).where("text is not null"), by=segmentation.windows)
+    return segmentation.chunked(_texts(s, d).where("text is not null"), by=segmentation.windows)
 
 
 def source_reassembly(s, d):
-    t = segmentation.reassembled(table(s, d, "chunks"))
+    t = segmentation.reassembled(_chunks(s, d))
     return t.select("document_id", F.md5("text").alias("digest"), F.length("text").alias("n"))
 
 
 def normalised_text(s, d):
-    t = _docs(s, d).where("text is not null").select("doc_id", T.normalised(F.col("text")).alias("t"))
+    t = _texts(s, d).where("text is not null").select("doc_id", T.normalised(F.col("text")).alias("t"))
     return t.select("doc_id", F.md5("t").alias("digest"), F.length("t").alias("n"))
 
 
 def shingle_counts(s, d):
-    t = _docs(s, d).where("text is not null").select("doc_id", F.size(segmentation.shingles(T.normalised(F.col("text")))).alias("n"))
+    t = _texts(s, d).where("text is not null").select("doc_id", F.size(segmentation.shingles(T.normalised(F.col("text")))).alias("n"))
     return t
 
 
 def minhash_signatures(s, d):
-    return dedupe.signatures(_docs(s, d)).select("doc_id", F.md5(F.array_join("sig", ",")).alias("digest"))
+    return dedupe.signatures(_texts(s, d)).select("doc_id", F.md5(F.array_join("sig", ",")).alias("digest"))
 
 
 def lsh_pairs(s, d):
-    return dedupe.near_pairs(dedupe.signatures(_docs(s, d)))
+    return dedupe.near_pairs(dedupe.signatures(_texts(s, d)))
 
 
 def revision_parse(s, d):
@@ -87,7 +96,7 @@ def superseded_paths(s, d):
 
 
 def bm25_topk(s, d):
-    hits = retrieval.top(retrieval.bm25(_gold_queries(s, d), table(s, d, "chunks")), 10)
+    hits = retrieval.top(retrieval.bm25(_gold_queries(s, d), _chunks(s, d)), 10)
     c = table(s, d, "chunks").select("chunk_id", "document_id").dropDuplicates(["chunk_id"])
     return hits.join(c, "chunk_id").select("query_id", "chunk_id", "document_id", "score", "rank")
 
@@ -103,7 +112,7 @@ def knn_eligible(s, d):
 
 
 def _hybrid_inputs(s, d):
-    c = table(s, d, "chunks").dropDuplicates(["chunk_id"])
+    c = _chunks(s, d).dropDuplicates(["chunk_id"])
     v = _usable(s, d)
     q = c.where("chunk_id % 20 = 0 and text is not null").select(F.col("chunk_id").alias("query_id"), F.substring("text", 1, 80).alias("text")).join(v.withColumnRenamed("chunk_id", "query_id"), "query_id")
     ok = retrieval.eligible_chunks(c, _docs(s, d), ["10_power", "20_cooling", "30_water"])
@@ -189,7 +198,7 @@ def prompt_context(s, d):
 
 
 def eval_recall_mrr(s, d):
-    hits = retrieval.top(retrieval.bm25(_gold_queries(s, d), table(s, d, "chunks")), 8)
+    hits = retrieval.top(retrieval.bm25(_gold_queries(s, d), _chunks(s, d)), 8)
     h = retrieval.hydrated(hits, table(s, d, "chunks"), _docs(s, d)).select(F.col("query_id").alias("gold_id"), "rank", "source")
     return evaluation.retrieval_metrics(evaluation.ranks(h, table(s, d, "gold")))
 
@@ -210,7 +219,7 @@ def gold_contract(s, d):
 
 def secrets_gate(s, d):
     leak = F.when(F.col("doc_id") % 97 == 5, "\npassword = 'hunter2-long'").when(F.col("doc_id") % 97 == 6, "\n-----BEGIN RSA PRIVATE KEY-----\nMIIE").when(F.col("doc_id") % 97 == 7, "\napi_key: 0123456789abcdef0123").otherwise("")
-    t = _docs(s, d).select("doc_id", F.concat(F.coalesce("text", F.lit("")), leak).alias("t"))
+    t = _texts(s, d).select("doc_id", F.concat(F.coalesce("text", F.lit("")), leak).alias("t"))
     return t.select("doc_id", F.array_join(audit.secret_reasons(F.col("t")), ",").alias("reasons")).where("reasons <> ''")
 
 
@@ -234,7 +243,7 @@ def entity_input(s, d):
 
 
 def classification_sample(s, d):
-    t = _docs(s, d).where("text is not null").select("doc_id", segmentation.classification_sample(F.col("text")).alias("t"))
+    t = _texts(s, d).where("text is not null").select("doc_id", segmentation.classification_sample(F.col("text")).alias("t"))
     return t.select("doc_id", F.md5("t").alias("digest"), F.length("t").alias("n"))
 
 
@@ -364,7 +373,7 @@ def dpi_cap(s, d):
 
 
 def fold_unicode(s, d):
-    t = _docs(s, d).where("text is not null").select("doc_id", T.ascii_punctuation(F.col("text")).alias("t"))
+    t = _texts(s, d).where("text is not null").select("doc_id", T.ascii_punctuation(F.col("text")).alias("t"))
     return t.select("doc_id", F.md5("t").alias("digest"))
 
 
@@ -373,9 +382,9 @@ def fold_unicode(s, d):
 QUERIES = {
     "domain_stats": lambda s, d: audit.domain_stats(_docs(s, d)),
     "corpus_totals": lambda s, d: audit.totals(_docs(s, d), table(s, d, "chunks"), table(s, d, "equipment")),
-    "chunk_packed": lambda s, d: segmentation.chunked(_docs(s, d)),
-    "exact_dup_groups": lambda s, d: dedupe.exact_groups(_docs(s, d)),
-    "near_dup_clusters": lambda s, d: dedupe.clusters(_docs(s, d)),
+    "chunk_packed": lambda s, d: segmentation.chunked(_texts(s, d)),
+    "exact_dup_groups": lambda s, d: dedupe.exact_groups(_texts(s, d)),
+    "near_dup_clusters": lambda s, d: dedupe.clusters(_texts(s, d)),
     "thin_documents": lambda s, d: audit.thin(_docs(s, d), table(s, d, "chunks")),
     "stale_documents": lambda s, d: audit.stale(_docs(s, d), oracle.NOW, oracle.STALE_DAYS),
     "content_signature": lambda s, d: audit.content_signature(_docs(s, d).select("doc_id", "rel_path", "sha256", "text")),
