@@ -37,30 +37,37 @@ def _search(x, graph, q, width, entries, expand):
     ids[:, : len(e)] = e[order]
     sims[:, : len(e)] = np.take_along_axis(s, order, 1)
     done[:, : len(e)] = False
-    stamp = np.full((n, len(x)), -1, np.int16)
+    kind = np.int8 if expand * degree < 128 else np.int16  # small, to stay in the cache
+    stamp = np.full((n, len(x)), -1, kind)
     stamp[:, e] = 0
+    stamp = stamp.ravel()
     live = np.arange(n)
-    steps = np.arange(width, dtype=np.int32)
-    place = np.arange(expand * degree, dtype=np.int16)
+    steps = np.arange(width, dtype=np.int16)
+    later = steps + np.int16(width)
+    place = np.arange(expand * degree, dtype=kind)
     while len(live):
         d = done[live]
-        pick = np.argpartition(d * np.int32(width) + steps, min(expand, width) - 1, axis=1)[:, :expand]
+        # the first points not expanded yet: as the beam is sorted, the least (done, place)
+        pick = np.argpartition(np.where(d, later, steps), min(expand, width) - 1, axis=1)[:, :expand]
         ok = ~np.take_along_axis(d, pick, 1)
         rows = live[:, None]
         nb = graph[np.where(ok, ids[rows, pick], 0)]
         nb[~ok] = -1
         nb = nb.reshape(len(live), -1)
         done[rows, pick] = True
-        new = nb >= 0
-        new &= stamp[rows, nb] < 0
-        r, c = np.nonzero(new)
-        target = nb[r, c]
-        stamp[live[r], target] = place[c]
-        once = stamp[live[r], target] == place[c]  # a point met twice in one step is taken once
-        r, c, target = r[once], c[once], target[once]
-        s = np.einsum("nd,nd->n", x[target], q[live[r]])
-        good = s > sims[live[r], -1]
-        r, c, target, s = r[good], c[good], target[good], s[good]
+        at = rows * len(x) + np.maximum(nb, 0)
+        new = stamp.take(at) < 0
+        new &= nb >= 0
+        hits = np.flatnonzero(new)
+        r = hits // nb.shape[1]
+        mark = place.take(hits - r * nb.shape[1])
+        at, target = at.ravel().take(hits), nb.ravel().take(hits)
+        stamp[at] = mark
+        once = stamp.take(at) == mark  # a point met twice in one step is taken once
+        r, target = r[once], target[once]
+        s = np.einsum("nd,nd->n", x.take(target, 0), q.take(live.take(r), 0))
+        good = s > sims[:, -1].take(live.take(r))
+        r, target, s = r[good], target[good], s[good]
         if len(r):
             count = np.bincount(r, minlength=len(live))
             hit = np.flatnonzero(count)
@@ -76,7 +83,8 @@ def _search(x, graph, q, width, entries, expand):
             wide_i[:, :width], wide_s[:, :width], wide_d[:, :width] = ids[g], sims[g], done[g]
             wide_i[row_of[r], width + slot], wide_s[row_of[r], width + slot] = target, s
             wide_d[row_of[r], width + slot] = False
-            best = np.argsort(-wide_s, axis=1)[:, :width]
+            best = np.argpartition(-wide_s, width - 1, axis=1)[:, :width]
+            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(wide_s, best, 1), axis=1), 1)
             ids[g], sims[g], done[g] = (np.take_along_axis(w, best, 1) for w in (wide_i, wide_s, wide_d))
         live = live[~done[live].all(1)]
     return ids, sims
