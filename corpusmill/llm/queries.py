@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from ..runtime import table
+from ..runtime import spread
+from ..runtime import table as stored
 from . import copies, encode, history, leaks, near, pieces, residue, scans, together, vectors
 
 
+#: Tables that grow with the corpus and are long in work for their bytes.
+LARGE = {"documents", "chunks", "vchunks", "staged_text"}
+
+
+def table(spark, sf_dir: str, name: str):
+    df = stored(spark, sf_dir, name)
+    return spread(df) if name in LARGE else df
+
+
 def queries() -> dict:
     return {
         "p1_found": lambda s, d: history.found(table(s, d, "documents"), table(s, d, "ingest_pending"), table(s, d, "staged_text")),
