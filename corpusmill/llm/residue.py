@@ -1,12 +1,13 @@
 """Problem 10: template residue, filler and error pages.
 
-Lines are normalised and counted by host (the documents' domain); lines that recur in many of a host's longer documents
-are its boilerplate and are subtracted. What is left of each document is searched for evidence: unfilled placeholders,
-filler, messages of a server, viewer, converter or sign-in, and notices that scripts are required. Each pattern asks for
+Lines are normalised and counted by host (the documents' domain) over distinct texts; lines that stand in most of a host's
+longer texts are its boilerplate. Each document is searched for evidence: unfilled placeholders and filler in its whole
+text, however often they recur; messages of a server, viewer, converter or sign-in, and notices that scripts are required,
+in its text without the boilerplate, as a menu or banner stands beside the content, not in its place. Each pattern asks for
 the form such a message has (it addresses the reader or names the thing asked for), so that sentences about such things
 don't match; quoted placeholders are mentions, not residue.
 
-Only documents longer than SHORT count towards boilerplate: an error page that stands alone never makes its own lines
+Only texts longer than SHORT count towards boilerplate: an error page that stands alone never makes its own lines
 recurrent. Defined results: null ids and null, empty and blank texts are no case; a null domain is a host of its own.
 """
 
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..runtime import cut, small
 
-#: A line is boilerplate if it stands in at least this share of a host's longer documents, and in this many.
-SHARE, LEAST, SHORT = 0.01, 20, 600
+#: A line is boilerplate if it stands in more than this share of a host's longer texts, of which there are at least so many.
+SHARE, LEAST, SHORT = 0.5, 20, 600
 
 #: Syllables of the customary filler passage.
 SYLLABLES = "lo rem ip sum do lor sit am et con sec te tur ad ipi sci ng eli ali sed eius mod tem por in ci di dunt ut la bo re mag ma gna qua quis qui nos trud ve ni mi no li si pi co".split()
@@ -126,12 +127,12 @@ def _shape(line: Column) -> Column:
 
 
 def boilerplate(docs: DataFrame) -> DataFrame:
-    """(host, lines): hashes of the recurrent lines of each host. There are at most (lines of a document) / SHARE of them a host."""
-    long = docs.where(F.length("text") >= SHORT)
-    totals = long.groupBy("host").agg(F.count("*").alias("docs"))
-    seen = long.select("host", F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.length(x) < 200), _shape))).alias("line"))
-    often = seen.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
-    return often.join(totals, "host").where(F.col("n") >= SHARE * F.col("docs")).groupBy("host").agg(F.collect_list("line").alias("often"))
+    """(host, often): hashes of the recurrent lines of each host; copies of a text count once. There are at most (lines of a document) / SHARE of them a host."""
+    lines = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.length(x) < 200), _shape))
+    long = cut(docs.where(F.length("text") >= SHORT).select("host", _shape(F.col("text")).alias("copy"), lines.alias("lines")).distinct())
+    totals = long.groupBy("host").agg(F.count("*").alias("texts")).where(F.col("texts") >= LEAST)
+    seen = long.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    return seen.join(totals, "host").where(F.col("n") > SHARE * F.col("texts")).groupBy("host").agg(F.collect_list("line").alias("often"))
 
 
 def _flow(lines: Column) -> Column:
@@ -145,20 +146,20 @@ def evidence(documents: DataFrame, host_col: str = "domain") -> DataFrame:
     """(doc_id, kind) of each document with evidence: placeholder, filler, error or script."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.trim(F.lower(F.col(host_col))), F.lit("")).alias("host"), "text").where("text is not null and doc_id is not null")
     often = small(cut(boilerplate(docs)))
-    left = docs.join(often, "host", "left").select(
-        "doc_id", _flow(F.filter(_lines(F.col("text")), lambda x: F.col("often").isNull() | ~F.array_contains("often", _shape(x)))).alias("t")
-    )
-    low = left.select("doc_id", "t", F.lower("t").alias("l"))
+    lines = _lines(F.col("text"))
+    rest = F.when(F.col("often").isNotNull(), _flow(F.filter(lines, lambda x: ~F.array_contains("often", _shape(x)))))
+    left = docs.join(often, "host", "left").select("doc_id", _flow(lines).alias("t"), rest.alias("rest"))
+    low = left.select("doc_id", "t", F.lower("t").alias("l"), F.lower(F.coalesce("rest", "t")).alias("m"))
     kinds = [F.when(F.col("t").rlike(PLACEHOLDER), F.lit("placeholder"))]
     for kind, signs in EVIDENCE.items():
-        hit = F.lit(False)
+        hit, where = F.lit(False), F.col("l" if kind == "filler" else "m")
         for hints, pattern in signs:
             hint = F.lit(False)
             for h in hints:
-                hint = hint | F.col("l").contains(h)
-            hit = hit | (hint & F.col("l").rlike(pattern))
+                hint = hint | where.contains(h)
+            hit = hit | (hint & where.rlike(pattern))
         if kind == "filler":
-            hit = hit | F.col("l").rlike(LATIN)
+            hit = hit | where.rlike(LATIN)
         kinds.append(F.when(hit, F.lit(kind)))
     return low.select("doc_id", F.explode(F.array_compact(F.array(*kinds))).alias("kind"))
 

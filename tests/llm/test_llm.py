@@ -237,6 +237,18 @@ def test_p10_recurrent_lines_are_subtracted(spark):
     assert residue.found(df).count() == 0 or rows(residue.found(df), "doc_id") == [(99,)]
 
 
+def test_p10_recurrent_residue_is_found(spark):
+    body = lambda i: f"real content {i} " * 60
+    form, notice = "Prepared for [INSERT name]\n" + body("form"), body("notice") + "\nPage not found.\nThe path /a/b is gone."
+    docs = [(i, "h", form) for i in range(30)] + [(i, "h", notice.upper() if i % 2 else notice) for i in range(30, 60)]  # copies, each a third of the host
+    docs += [(i, "h", body(i)) for i in range(60, 90)]
+    docs += [(i, "few", body(i) + ("\nCould not load the drawing" if i < 130 else "")) for i in range(100, 400)]  # 30 of 300 texts, no copies
+    docs += [(i, "all", f"Owner: {{{{owner}}}}\nSign in to view your account\n{body(i)}") for i in range(400, 440)]  # placeholder on every page
+    df = spark.createDataFrame(docs, "doc_id long, domain string, text string")
+    got = rows(residue.evidence(df), "doc_id", "kind")
+    assert got == [(i, "placeholder") for i in range(30)] + [(i, "error") for i in [*range(30, 60), *range(100, 130)]] + [(i, "placeholder") for i in range(400, 440)]
+
+
 def test_p3_noise_and_mending(spark):
     clean = ["the shielded pump of the cross-bonded condenser is cleaned every 500 hours before the relay chatters in the control annexe"] * 4 + ["# TX-1 Data Sheet\nthe pump"] * 6
     scan = "[Page 1] # TX-1 Data Sheet\nThe shiel-\nded pump of the cross-\nbonded conden¬\n      TX-9 Data Sheet · Rev B\n   - 2 -\nser is c1eaned every 5O0\nhours before the rclay chatters in the confrol annexe"
