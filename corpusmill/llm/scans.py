@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut, small
 
-#: A word of the vocabulary stands this often in texts that weren't scanned; a title in so many documents.
-COMMON, TITLES, SHARE = 3, 5, 0.0005
+#: A word of the vocabulary stands this often in texts that weren't scanned.
+COMMON = 3
 #: Words of one shard of the vocabulary's trie.
 TRIE_WORDS = 200_000
 HYPHENS = "-‐‑¬\xad"
@@ -76,24 +76,28 @@ def _page_word(s: str) -> str:
 _SUFFIX = re.compile(r"(?:\s*[–—·|/\-•]\s*\S.{0,60}|\s{2,}\S.{0,20}|\s+\d{1,3}\s*/\s*\d{1,3})?\s*")
 
 
-def is_header(line: str, titles: list[str]) -> bool:
-    """Only the names of document, site, revision or sheet: a tag and a title, something before or behind, no sentence."""
-    s = line.strip()
+def named(line: str) -> list[str]:
+    """Skeletons of what would have to be a title for the line only to name document, site, revision or sheet: a tag and a
+    title, something before or behind, no sentence."""
+    s, out = line.strip(), []
     if not 8 <= len(s) <= 130 or HEADING.match(s) or MARKER.match(s):
-        return False
+        return out
     for m in re.finditer(rf"(?:(?<=\s)|^){TAG}\s+", s):
         before, rest = s[: m.start()], s[m.end() :]
         if len(before.split()) > 5 or re.search(r"[.,;:()\d]\s", before + " "):
             continue
-        for n in range(1, 8):
-            ws = list(re.finditer(r"\S+", rest))
-            if len(ws) < n:
+        for n, w in enumerate(re.finditer(r"\S+", rest)):
+            if n == 7:
                 break
-            if skeleton(rest[: ws[n - 1].end()]) in titles:
-                behind = rest[ws[n - 1].end() :]
-                if (before.strip() or behind.strip()) and _SUFFIX.fullmatch(behind) and not behind.rstrip().endswith((".", ",", ";")):
-                    return True
-    return False
+            behind = rest[w.end() :]
+            if (before.strip() or behind.strip()) and _SUFFIX.fullmatch(behind) and not behind.rstrip().endswith((".", ",", ";")):
+                out.append(skeleton(rest[: w.end()]))
+    return out
+
+
+def is_header(line: str, titles: set[str]) -> bool:
+    """Only the names of document, site, revision or sheet."""
+    return bool(titles) and any(t in titles for t in named(line))
 
 
 _STRIP = ".,;:)]}\"'”’»?…>*"
@@ -113,7 +117,7 @@ _LEFT = re.compile(rf"([^\W\d_]+(?:['’-][^\W\d_]+)*)([{HYPHENS}])\s*$")
 _RIGHT = re.compile(r"\s*([^\W\d_]+(?:['’-][^\W\d_]+)*)")
 
 
-def read(text: str, titles: list[str]) -> list[tuple[str, str, str, str]]:
+def read(text: str, titles: set[str]) -> list[tuple[str, str, str, str]]:
     """(kind, item, a, b) of everything of note: header and page lines, split words (item as joined; a, b the halves), tokens
     of the running text (a, b the tokens before and behind)."""
     out, lines = [], []
@@ -244,18 +248,31 @@ def scanned(documents: DataFrame) -> DataFrame:
     return documents.where(F.col("extractor").isNull() | (e == "ocr")).select(F.col("doc_id").cast("long").alias("document_id")).distinct()
 
 
-def titles_of(chunks: DataFrame) -> list[str]:
-    """Skeletons of the titles that stand behind a tag in many documents' headings.
-
-    A title stands in at least TITLES documents and in SHARE of all; as a chunk shows at most three lines, that bounds their
-    number whatever the size of the corpus.
-    """
+def titles_of(chunks: DataFrame) -> DataFrame:
+    """title: skeletons of the titles that stand behind a tag in any document's headings, in any line."""
     title = F.regexp_extract("line", f"^(?:\\[Page \\d+\\]\\s*)?#+\\s+[A-Z]{{1,5}}-\\d+\\s+(\\S.{{2,60}}?)\\s*$", 1)
-    lines = chunks.where(F.col("text").contains("#")).select("document_id", F.explode(F.slice(F.split("text", "[\\n\\r]+"), 1, 3)).alias("line"))
-    told = lines.select("document_id", F.lower(title).alias("title")).where("title <> ''").distinct()
-    seen = told.groupBy("title").agg(F.count("*").alias("n"))
-    most = seen.agg(F.sum("n")).first()[0] or 0
-    return sorted({skeleton(r[0]) for r in seen.where(F.col("n") >= max(TITLES, SHARE * most)).select("title").collect()})
+    lines = chunks.where(F.col("text").contains("#")).select(F.explode(F.filter(F.split("text", BREAKS.pattern), lambda x: x.contains("#"))).alias("line"))
+    told = lines.select(F.lower(title).alias("title")).where("title <> ''").distinct()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([skeleton(t) for t in b.column(0).to_pylist()], pa.string())], names=["title"])
+
+    return told.mapInArrow(work, "title string").distinct()
+
+
+def with_titles(chunks: DataFrame, scans: DataFrame) -> DataFrame:
+    """(chunk_id, text, titles): the scanned chunks, each with those of all titles that its own lines may name."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = {(c, t) for c, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for line in BREAKS.split(text) for t in named(line)}
+            cols = list(zip(*pairs)) or [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string())], names=["chunk_id", "title"])
+
+    held = scans.select("chunk_id", "text")
+    known = held.mapInArrow(work, "chunk_id long, title string").join(small(cut(titles_of(chunks))), "title")
+    return held.join(small(cut(known.groupBy("chunk_id").agg(F.collect_set("title").alias("titles")))), "chunk_id", "left")
 
 
 def vocabulary(clean: DataFrame) -> DataFrame:
@@ -264,22 +281,20 @@ def vocabulary(clean: DataFrame) -> DataFrame:
     return clean.where("text is not null").select(words.alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
 
 
-def _read_all(chunks: DataFrame, titles: list[str]) -> DataFrame:
-    known = set(titles)
-
+def _read_all(chunks: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for s in range(0, whole.num_rows, 500):
                 b = whole.slice(s, 500)
                 ids, rows = [], []
-                for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    found = read(t, known)
+                for c, t, titles in zip(*(x.to_pylist() for x in b.columns)):
+                    found = read(t, set(titles or []))
                     ids += [c] * len(found)
                     rows += found
                 cols = list(zip(*rows)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(c, pa.string()) for c in cols]], names=["chunk_id", "kind", "item", "a", "b"])
 
-    return chunks.select("chunk_id", "text").mapInArrow(work, "chunk_id long, kind string, item string, a string, b string")
+    return chunks.select("chunk_id", "text", "titles").mapInArrow(work, "chunk_id long, kind string, item string, a string, b string")
 
 
 def corrections(unknown: DataFrame, words: DataFrame) -> DataFrame:
@@ -306,9 +321,8 @@ def noise(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """(chunk_id, kind, item, raw): all noise of the scanned chunks; raw is what stands in the text (for split, the halves)."""
     ids = small(cut(scanned(documents)))
     rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("document_id").cast("long").alias("document_id"), "text").where("text is not null and chunk_id is not null")
-    titles = titles_of(rows)
     words = cut(vocabulary(rows.join(ids, "document_id", "left_anti")))
-    seen = cut(_read_all(rows.join(ids, "document_id", "left_semi"), titles))
+    seen = cut(_read_all(with_titles(rows, rows.join(ids, "document_id", "left_semi"))))
     furniture = seen.where("kind in ('header', 'page')").select("chunk_id", "kind", "item", F.col("item").alias("raw"))
 
     told = seen.where("kind = 'token'").select("chunk_id", F.col("item").alias("token"), "a", "b")
@@ -395,16 +409,15 @@ def repaired(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """(chunk_id, text): the scanned chunks as continuous paragraphs."""
     ids = small(cut(scanned(documents)))
     rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("document_id").cast("long").alias("document_id"), "text").where("text is not null and chunk_id is not null")
-    titles = set(titles_of(rows))
     fixes = noise(chunks, documents).where("kind in ('split', 'misread')").groupBy("chunk_id").agg(F.collect_list(F.struct("kind", "raw", "item")).alias("fixes"))
-    held = rows.join(ids, "document_id", "left_semi").select("chunk_id", "text").dropDuplicates().join(fixes, "chunk_id", "left")
+    held = with_titles(rows, rows.join(ids, "document_id", "left_semi")).dropDuplicates(["chunk_id", "text"]).join(fixes, "chunk_id", "left").select("chunk_id", "text", "titles", "fixes")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for t, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for t, titles, f in zip(*(x.to_pylist() for x in b.columns[1:])):
                 f = f or []
-                texts.append(mend(t, titles, {x["raw"]: x["item"] for x in f if x["kind"] == "misread"}, {x["raw"]: x["item"] for x in f if x["kind"] == "split"}))
+                texts.append(mend(t, set(titles or []), {x["raw"]: x["item"] for x in f if x["kind"] == "misread"}, {x["raw"]: x["item"] for x in f if x["kind"] == "split"}))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["chunk_id", "text"])
 
     return held.mapInArrow(work, "chunk_id long, text string")

@@ -263,6 +263,18 @@ def test_p3_noise_and_mending(spark):
     assert "The shielded pump of the cross-bonded condenser is cleaned every 500 hours before the relay chatters in the control annexe" in text and "Rev B" not in text
 
 
+def test_p3_header_of_a_rare_title(spark):
+    docs = spark.createDataFrame([(i, "text") for i in range(40)] + [(50, "ocr"), (51, "ocr")], "doc_id long, extractor string")
+    common = [(i, i, 0, "# TX-1 Data Sheet\nthe shielded pump is cleaned") for i in range(40)]
+    own = (60, 50, 0, "one line\nanother\na third\n\n# TX-2 Ledger of Valves\nthe pump")  # in line five, in one document
+    pages = [(61, 50, 1, "the shiel-\nTX-2 Ledger of Valves · Rev B\nded pump is cleaned"), (62, 51, 0, "the pump\nSite North TX-7 Data Sheet\nis cleaned"), (63, 51, 1, "the pump\nTX-2 Roll of Fans · Rev B\nis cleaned")]
+    chunks = spark.createDataFrame([*common, own, *pages], CHUNKS)
+    got = rows(scans.found(chunks, docs), "chunk_id", "kind", "item")
+    assert [r for r in got if r[1] != "misread"] == [(61, "header", "TX-2 Ledger of Valves · Rev B"), (61, "split", "shielded"), (62, "header", "Site North TX-7 Data Sheet")]
+    text = {r.chunk_id: r.text for r in scans.repaired(chunks, docs).collect()}
+    assert text[61] == "the shielded pump is cleaned" and text[62] == "the pump is cleaned" and "Roll of Fans" in text[63]
+
+
 def test_p3_automaton_finds_all_words_within_the_distance():
     def distance(a, b):
         d = list(range(len(b) + 1))
