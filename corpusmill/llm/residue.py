@@ -53,7 +53,7 @@ def branching(words: list[str]) -> str:
 LATIN = f"\\b(?:(?:{branching(sorted(set(SYLLABLES)))})+[\\s,.;]+){{5,}}"
 
 #: kind: (what must be there, pattern), over lower-cased text with single spaces. The pattern is tried only where one of
-#: the plain strings before it occurs.
+#: the plain strings before it occurs; every match holds one of them.
 EVIDENCE: dict[str, list[tuple[list[str], str]]] = {
     "script": [
         (["<noscript"], "<noscript"),
@@ -63,7 +63,7 @@ EVIDENCE: dict[str, list[tuple[list[str], str]]] = {
         (["script"], "(?:java)?script(?:s|ing)? (?:is|are|must be) (?:required|needed|enabled|blocked)(?: \\w+){0,3} (?:to (?:see|view|load|open|display|continue|use)|in (?:this|your) browser)"),
         (["cookie"], "cookies? (?:is|are) (?:missing|blocked|disabled|required)"),
         (["your browser"], "your browser (?:blocks|does not support|has blocked|is not supported|cannot)"),
-        (["skript", "javascript"], "brauch\\w* aktivierte skripte|skripte (?:sind|müssen) (?:deaktiviert|aktiviert)|(?:aktivieren|erlauben) sie (?:java)?s[ck]ripte?"),
+        (["skript", "script"], "brauch\\w* aktivierte skripte|skripte (?:sind|müssen) (?:deaktiviert|aktiviert)|(?:aktivieren|erlauben) sie (?:java)?s[ck]ripte?"),
         (["script"], "activez (?:les scripts|javascript)|les scripts (?:sont|doivent être) (?:désactivés|activés)"),
         (["script"], "(?:active|habilite|permita) (?:los scripts|javascript)|los scripts están (?:desactivados|bloqueados)"),
         (["スクリプト", "javascript"], "スクリプトを有効|javascriptを有効"),
@@ -105,8 +105,8 @@ EVIDENCE: dict[str, list[tuple[list[str], str]]] = {
     "filler": [
         (["lorem ipsum"], "(?<!such as )(?<!like )(?<!as in )(?<![\"“'])lorem ipsum(?! (?:must|is|was|should|and|or|text|may|in|on|at|to|has|can)\\b)"),
         (["asdf"], "\\basdf\\w*\\b.{0,30}\\bqwer|\\bqwertz?y?\\b.{0,20}\\basdf"),
-        (["test test"], "(?:\\btest\\b[ ,.]*){3,}"),
-        (["blah", "filler", "text text", "more text", "dummy"], "(?:\\b(?:blah|filler|text|more|dummy|sample)\\b[ ,.]*){6,}|(?:blah[ ,.]*){3,}"),
+        (["test"], "(?:\\btest\\b[ ,.]*){3,}"),
+        (["blah", "filler", "text", "more", "dummy", "sample"], "(?:\\b(?:blah|filler|text|more|dummy|sample)\\b[ ,.]*){6,}|(?:blah[ ,.]*){3,}"),
         ([" goes here"], "(?:text|content|copy|description|paragraph|body) goes here"),
         (["to be replaced"], "sample (?:paragraph|text|content)[^.]{0,10} to be replaced"),
         (["dummy "], "dummy (?:text|content|copy) for (?:layout|design|test)"),

@@ -249,6 +249,41 @@ def test_p10_recurrent_residue_is_found(spark):
     assert got == [(i, "placeholder") for i in range(30)] + [(i, "error") for i in [*range(30, 60), *range(100, 130)]] + [(i, "placeholder") for i in range(400, 440)]
 
 
+def a_match(tree, rng):
+    """A random string for a parsed pattern; assertions are left to the caller."""
+    out = ""
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op in ("NOT_LITERAL", "ANY"):
+            out += rng.choice(" z")
+        elif op == "IN":
+            kind, x = rng.choice(arg) if str(arg[0][0]) != "NEGATE" else ("NEGATE", None)
+            out += {"LITERAL": lambda: chr(x), "RANGE": lambda: chr(rng.randint(*x)), "NEGATE": lambda: "z", "CATEGORY": lambda: {"WORD": "w", "DIGIT": "4", "NOT_SPACE": "x", "SPACE": " "}[str(x)[9:]]}[str(kind)]()
+        elif op == "BRANCH":
+            out += a_match(rng.choice(arg[1]), rng)
+        elif op == "SUBPATTERN":
+            out += a_match(arg[3], rng)
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(a_match(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 2))))
+        else:
+            assert op in ("AT", "ASSERT", "ASSERT_NOT")
+    return out
+
+
+def test_p10_every_match_passes_its_gate(spark):
+    rng = random.Random(5)
+    for signs in residue.EVIDENCE.values():
+        for hints, pattern in signs:
+            made = [t for t in (a_match(re._parser.parse(pattern), rng) for _ in range(4000)) if re.search(pattern, t)]
+            assert made, pattern
+            assert [t for t in made if not any(h in t for h in hints)] == [], pattern
+    yes = ["Test, test, test.", "test. test. test.", "text, text, text, text, text, text", "Sample, sample, more, sample, sample, more", "Bitte aktivieren Sie Scripte"]
+    df = spark.createDataFrame([(i, None, t) for i, t in enumerate(yes)], "doc_id long, domain string, text string")
+    assert [r[0] for r in rows(residue.found(df), "doc_id")] == list(range(len(yes)))
+
+
 def test_p3_noise_and_mending(spark):
     clean = ["the shielded pump of the cross-bonded condenser is cleaned every 500 hours before the relay chatters in the control annexe"] * 4 + ["# TX-1 Data Sheet\nthe pump"] * 6
     scan = "[Page 1] # TX-1 Data Sheet\nThe shiel-\nded pump of the cross-\nbonded conden¬\n      TX-9 Data Sheet · Rev B\n   - 2 -\nser is c1eaned every 5O0\nhours before the rclay chatters in the confrol annexe"
