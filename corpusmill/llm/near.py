@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators.components import connected_components
 from ..runtime import cut, parts, small
-from .copies import field_key
+from .copies import FIELD_BREAKS, field_key
 from .ragged import flat, minima, mix, runs
 
 SHINGLE, MIN_WORDS = 3, 30
@@ -204,7 +204,7 @@ def verified(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
 def near_pairs(df: DataFrame, threshold: float = 0.8, id_col: str = "chunk_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Pairs of representatives (a, b, similarity), and membership (id, rep, fk)."""
     t = F.col(text_col)
-    record = t.rlike("[:=]") & t.rlike("(?s)[\\n\\t|;\\r].*[\\n\\t|;\\r]")
+    record = t.rlike("[:=]") & t.rlike(f"(?s){FIELD_BREAKS}.*{FIELD_BREAKS}")
     rows = cut(
         df.where(t.isNotNull() & F.col(id_col).isNotNull())
         .select(F.col(id_col).cast("long").alias("id"), T.word_hashes(t).alias("w"), F.when(record, field_key(t)).alias("f"))

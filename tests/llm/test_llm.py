@@ -66,6 +66,16 @@ def test_p7_all_pairs_against_brute_force(spark):
     assert near.found(df.limit(0)).count() == 0
 
 
+def test_p7_records_parted_by_any_line_break_are_copies(spark):
+    t = []
+    for n, sep in enumerate("\n\x0b\x0c\x85\u2028\u2029"):
+        fields = [f"Field {k}: " + " ".join(f"w{n}x{k}y{j}" for j in range(40)) for k in range(3)]
+        t += [sep.join(fields), sep.join(fields[1:] + fields[:1])]
+    df = spark.createDataFrame([(i, 1, 0, x) for i, x in enumerate(t)], CHUNKS)
+    assert rows(copies.copies(df), "chunk_id_a", "chunk_id_b") == [(i, i + 1) for i in range(0, len(t), 2)]
+    assert rows(near.found(df), "chunk_id_a", "chunk_id_b") == []
+
+
 def test_p7_long_runs_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near, "BLOCK", 8)
     base = texts(1, 5)[0].split()
