@@ -14,6 +14,8 @@ gives no rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -51,17 +53,19 @@ def _sample(rows: DataFrame, dim: int, n: int) -> np.ndarray:
 
 
 def neighbours(
-    df: DataFrame, k: int = 10, width: int = 48, most: int = 5, margin: float = 0.15, least: float = -2.0, again: bool = True, id_col: str = "chunk_id", vector_col: str = "embedding", dim: int = DIM
+    df: DataFrame, k: int = 10, width: int = 48, most: int | None = None, margin: float = 0.15, least: float = -2.0, again: bool = True, id_col: str = "chunk_id", vector_col: str = "embedding", dim: int = DIM
 ) -> DataFrame:
     """(id, neighbour, similarity): up to k neighbours of each vector with at least the similarity ``least``.
 
-    Each vector asks at most ``most`` cells whose centroids are within ``margin`` of its nearest one. ``again``: points also
+    Each vector asks at most ``most`` cells whose centroids are within ``margin`` of its nearest one; without a number, 5 or
+    twice the root of the number of cells, as neighbours are spread over more cells the more there are. ``again``: points also
     search the finished graph of their own shard; without it what they met at insertion is taken, in both directions.
     """
     rows = usable(df, id_col, vector_col, dim)
     n = rows.count()
     if n < 2:
         return df.sparkSession.createDataFrame([], "id long, neighbour long, similarity double")
+    most = most or max(5, math.ceil(2 * math.sqrt(-(-n // SHARD_ROWS))))
     cells = Cells.of(_sample(rows, dim, n), n, SHARD_ROWS, QUERY_ROWS, most, margin)
 
     def deal(batches):

@@ -150,6 +150,22 @@ def test_p6_recall_and_bad_vectors(spark):
     assert vectors.ten(df.limit(1)).count() == 0
 
 
+def test_p6_recall_at_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD_ROWS", 40)
+    made, of = [], vectors.Cells.of
+    monkeypatch.setattr(vectors.Cells, "of", lambda *a: made.append(of(*a)) or made[-1])
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 64))[rng.integers(0, 40, 4000)] + 0.8 * rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, embedding array<double>")
+    near = x @ x.T
+    np.fill_diagonal(near, -9)
+    true = np.argsort(-near, axis=1)[:, :10]
+    got = rows(vectors.ten(df), "chunk_id", "neighbour_id")
+    assert len(set(got) & {(i, int(j)) for i in range(4000) for j in true[i]}) > 0.9 * 40_000
+    assert len(made[0].centroids) == 100 and made[0].most == 20
+
+
 def test_p6_prune_keeps_diverse_edges():
     x = np.array([[1, 0, 0], [0.8, 0.6, 0], [0.79, 0.61, 0], [0.78, -0.62, 0]], np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
