@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, dispose
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if not before[0]:
             break
         big = _star(now, True)
-        now = cut(_star(big.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), False))
+        last, now = now, cut(_star(big.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), False))
+        dispose(last)
         if now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == before:
             break
     else:

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
 import uuid
-from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
-#: A side is only broadcast by hand when it is proven to be below this many rows.
-BROADCAST_ROWS = 200_000
+#: A side is only broadcast by hand when it is proven to be below this many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 * 2**20
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -30,14 +28,31 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
     )
 
 
+def _path(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop, whatever the scheme."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The application's part of the cluster's shared folder, which ``spark.checkpoint.dir`` names; removed when the driver ends.
+
+    Where that is unset a session on one machine takes a temporary folder; on a cluster it is an error, as executors could
+    not read what others wrote.
+    """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         known = tempfile.mkdtemp(prefix="corpusmill-")
-        atexit.register(shutil.rmtree, known, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", known)
-    return known.rstrip("/")
+    folder = f"{known.rstrip('/')}/corpusmill-{spark.sparkContext.applicationId}"
+    fs, at = _path(spark, folder)
+    if not fs.exists(at):
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -46,20 +61,42 @@ def cut(df: DataFrame) -> DataFrame:
     The written table survives the loss of executors, and being columnar it can be read in parts.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusmill-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    parsed = urlparse(path)
-    if parsed.scheme in ("", "file"):
-        atexit.register(shutil.rmtree, parsed.path, ignore_errors=True)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def dispose(*tables: DataFrame) -> None:
+    """Removes the tables that ``cut`` wrote for these, which nothing to come will read."""
+    for df in tables:
+        if at := getattr(df, "_cut_at", None):
+            fs, path = _path(df.sparkSession, at)
+            fs.delete(path, True)
+
+
+def row_bytes(value: Column, kind: S.DataType) -> Column:
+    """About the bytes of a value in memory; 0 for null."""
+    if isinstance(kind, (S.StringType, S.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, S.ArrayType):
+        if isinstance(kind.elementType, (S.StringType, S.BinaryType, S.ArrayType, S.StructType)):
+            return F.coalesce(F.aggregate(value, F.lit(0).cast("long"), lambda a, x: a + row_bytes(x, kind.elementType)), F.lit(0)) + 16
+        return F.coalesce(F.when(value.isNotNull(), F.size(value)), F.lit(0)) * 8 + 16
+    if isinstance(kind, S.StructType):
+        return sum((row_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    return F.lit(16)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else unchanged (a shuffle join follows).
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows of ``size`` bytes in all, else unchanged (a shuffle join follows).
 
-    Counting stops after ``rows`` + 1 rows.
+    Only the rows' sizes are looked at, and no more than ``rows`` + 1 of them.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    bytes_ = sum((row_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0)).cast("long")
+    n, b = df.select(bytes_.alias("b")).limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and b <= size else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
