@@ -55,14 +55,61 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
+def read_bytes(spark: SparkSession, path: str) -> bytes | None:
+    """A small file's contents; None if there is none."""
+    fs, at = _path(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file that appears whole under its name, in place of one that is there."""
+    fs, at = _path(spark, path)
+    _, part = _path(spark, f"{path}.{uuid.uuid4().hex[:8]}.part")
+    stream = fs.create(part, True)
+    try:
+        stream.write(bytearray(data))
+        stream.hflush()
+    finally:
+        stream.close()
+    replace = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri() if at.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = replace
+    context.rename(context.makeQualified(part), context.makeQualified(at), options)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _path(spark, path)
+    fs.delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _path(spark, path)
+    return fs.exists(at)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in order; none if there is no such folder."""
+    fs, at = _path(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def cut(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back, so that its lineage ends there.
 
-    The written table survives the loss of executors, and being columnar it can be read in parts.
+    The written table survives the loss of executors, and being columnar it can be read in parts; ``by`` names columns of
+    whose values each gets a folder, so that the rows of one can be read alone.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_at = path
     return out
