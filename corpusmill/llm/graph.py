@@ -3,91 +3,80 @@
 A graph is a matrix of neighbour numbers, -1 where there is none. Points are inserted in batches of doubling size: every
 point of a batch searches the graph as it is, chooses its neighbours among what the search came by, and is then made a
 neighbour of theirs.
+
+Queries near to each other search together: they are dealt into blocks by the entry point nearest to them; a point that one
+of a block expands has its neighbours compared with all of the block by one matrix product. Each query keeps a beam of its
+own and ends when all of it is expanded.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-BATCH = 1024
+BATCH = 2048
+#: Queries of one block.
+BLOCK = 128
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, width: int, entries: np.ndarray, expand: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def beam_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, width: int, entries: np.ndarray, expand: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """The ``width`` best points met from the entries on, with their similarities, best first (-1 and -inf behind the last).
 
     In every step the ``expand`` best points not yet expanded are, until none is left among the best ``width``.
     """
     out_i = np.full((len(queries), width), -1, np.int32)
     out_s = np.full((len(queries), width), -np.inf, np.float32)
-    for at in range(0, len(queries), BATCH):
-        i, s = _search(x, graph, queries[at : at + BATCH], width, entries, expand)
-        out_i[at : at + BATCH], out_s[at : at + BATCH] = i, s
+    if not len(x):
+        return out_i, out_s
+    near = x[entries]
+    for at in range(0, len(queries), 8 * BATCH):
+        q = queries[at : at + 8 * BATCH]
+        first = q @ near.T
+        some = min(4, len(entries))
+        start = np.argpartition(-first, some - 1, axis=1)[:, :some]
+        order = np.argsort(first.argmax(1), kind="stable")
+        for lo in range(0, len(q), BLOCK):
+            rows = order[lo : lo + BLOCK]
+            i, s = _search(x, graph, q[rows], width, entries[np.unique(start[rows])], expand)
+            out_i[at + rows, : i.shape[1]], out_s[at + rows, : i.shape[1]] = i, s
     return out_i, out_s
 
 
+def _best(ids: np.ndarray, sims: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    if sims.shape[1] <= width:
+        return ids, sims
+    best = np.argpartition(sims, sims.shape[1] - width, axis=1)[:, -width:]
+    return np.take_along_axis(ids, best, 1), np.take_along_axis(sims, best, 1)
+
+
 def _search(x, graph, q, width, entries, expand):
-    n, degree = len(q), graph.shape[1]
-    width = int(width)
-    ids = np.full((n, width), -1, np.int32)
-    sims = np.full((n, width), -np.inf, np.float32)
-    done = np.ones((n, width), bool)
-    e = entries[:width]
-    s = q @ x[e].T
-    order = np.argsort(-s, axis=1)
-    ids[:, : len(e)] = e[order]
-    sims[:, : len(e)] = np.take_along_axis(s, order, 1)
-    done[:, : len(e)] = False
-    kind = np.int8 if expand * degree < 128 else np.int16  # small, to stay in the cache
-    stamp = np.full((n, len(x)), -1, kind)
-    stamp[:, e] = 0
-    stamp = stamp.ravel()
-    live = np.arange(n)
-    steps = np.arange(width, dtype=np.int16)
-    later = steps + np.int16(width)
-    place = np.arange(expand * degree, dtype=kind)
-    while len(live):
-        d = done[live]
-        # the first points not expanded yet: as the beam is sorted, the least (done, place)
-        pick = np.argpartition(np.where(d, later, steps), min(expand, width) - 1, axis=1)[:, :expand]
-        ok = ~np.take_along_axis(d, pick, 1)
-        rows = live[:, None]
-        nb = graph[np.where(ok, ids[rows, pick], 0)]
-        nb[~ok] = -1
-        nb = nb.reshape(len(live), -1)
-        done[rows, pick] = True
-        at = rows * len(x) + np.maximum(nb, 0)
-        new = stamp.take(at) < 0
-        new &= nb >= 0
-        hits = np.flatnonzero(new)
-        r = hits // nb.shape[1]
-        mark = place.take(hits - r * nb.shape[1])
-        at, target = at.ravel().take(hits), nb.ravel().take(hits)
-        stamp[at] = mark
-        once = stamp.take(at) == mark  # a point met twice in one step is taken once
-        r, target = r[once], target[once]
-        s = np.einsum("nd,nd->n", x.take(target, 0), q.take(live.take(r), 0))
-        good = s > sims[:, -1].take(live.take(r))
-        r, target, s = r[good], target[good], s[good]
-        if len(r):
-            count = np.bincount(r, minlength=len(live))
-            hit = np.flatnonzero(count)
-            most = int(count.max())
-            begin = np.cumsum(count) - count
-            slot = np.arange(len(r)) - begin[r]
-            row_of = np.empty(len(live), np.int64)
-            row_of[hit] = np.arange(len(hit))
-            wide_i = np.full((len(hit), width + most), -1, np.int32)
-            wide_s = np.full((len(hit), width + most), -np.inf, np.float32)
-            wide_d = np.ones((len(hit), width + most), bool)
-            g = live[hit]
-            wide_i[:, :width], wide_s[:, :width], wide_d[:, :width] = ids[g], sims[g], done[g]
-            wide_i[row_of[r], width + slot], wide_s[row_of[r], width + slot] = target, s
-            wide_d[row_of[r], width + slot] = False
-            best = np.argpartition(-wide_s, width - 1, axis=1)[:, :width]
-            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(wide_s, best, 1), axis=1), 1)
-            ids[g], sims[g], done[g] = (np.take_along_axis(w, best, 1) for w in (wide_i, wide_s, wide_d))
-        live = live[~done[live].all(1)]
-    return ids, sims
+    seen = np.zeros(len(x) + 1, bool)  # the last one stands for no neighbour
+    done = np.zeros(len(x), bool)
+    seen[-1] = seen[entries] = True
+    sims = q @ x[entries].T
+    ids, sims = _best(np.broadcast_to(entries.astype(np.int32), sims.shape), sims, width)
+    while True:
+        open_ = np.where(done[ids], np.float32(-np.inf), sims)
+        if expand < ids.shape[1]:
+            pick = np.argpartition(open_, ids.shape[1] - expand, axis=1)[:, -expand:]
+            chosen = np.take_along_axis(ids, pick, 1)[np.take_along_axis(open_, pick, 1) > -np.inf]
+        else:
+            chosen = ids[open_ > -np.inf]
+        if not len(chosen):
+            break
+        done[chosen] = True
+        new = graph[np.unique(chosen)].ravel()
+        new = new[~seen[new]]
+        if not len(new):
+            continue
+        new = np.unique(new)
+        seen[new] = True
+        s = q @ x[new].T
+        if ids.shape[1] == width:
+            use = (s > sims.min(1)[:, None]).any(0)
+            new, s = new[use], s[:, use]
+        ids, sims = _best(np.concatenate([ids, np.broadcast_to(new, s.shape)], 1), np.concatenate([sims, s], 1), width)
+    order = np.argsort(-sims, axis=1)
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
 
 def robust_prune(x: np.ndarray, cand: np.ndarray, sims: np.ndarray, degree: int, alpha: float) -> np.ndarray:
@@ -118,8 +107,9 @@ def nearest(x: np.ndarray, cand: np.ndarray, sims: np.ndarray, degree: int, alph
     return out
 
 
-def entry_points(n: int, many: int = 8) -> np.ndarray:
-    return np.unique(np.linspace(0, n - 1, min(n, many)).astype(np.int32))
+def entry_points(n: int, each: int = 64) -> np.ndarray:
+    """A point of every ``each``; as points lie in random order, these lie in all regions."""
+    return np.arange(0, n, each, dtype=np.int32)
 
 
 def build(x: np.ndarray, degree: int = 24, width: int = 32, alpha: float = 1.02, choose=robust_prune, forward: int | None = None, met: list | None = None) -> np.ndarray:

@@ -1,11 +1,15 @@
 """Problem 1: new batches against all history.
 
-The accepted documents and the pending files are kept as an index of graph shards: a segment for the documents and one
-for each batch, each divided into cells, each cell a navigable small-world graph over 64 random projections of a text's
-runs of three words. A new batch adds its own segment; FAN_IN finished segments are compacted into one of the next size.
-A file searches the segments before it (few, as sizes grow by FAN_IN) with a widened beam, in the cells near to it, and
-what it meets is ranked again by the exact similarity. Nothing that was indexed is read again but for the shards of the
-cells asked and the texts of what was met.
+The accepted documents and the pending files are kept in a folder as an index of graph shards: a segment for the documents
+and one for each batch, each divided into cells, each cell a navigable small-world graph over 64 random projections of a
+text's runs of three words. Beside its shards a segment holds its keys, the digests and hashes of word sequences. A batch
+that comes looks its keys up among those of all segments, adds a segment of its own, and asks the shards of the cells near
+to its texts with a widened beam; then FAN_IN finished segments of one size are compacted into one of the next. No text of a
+former batch is read for this, and no segment is built again but by the schedule. What was met is ranked by the exact
+similarity.
+
+Every step leaves a manifest in the folder, so an index can be opened again and goes on after its last whole step. The cells
+are fitted once, on a bounded sample of the documents, and kept with the index.
 
 Defined results: digests count however they are written (case, white space, a prefix), null or malformed ones never; null
 texts and texts under MIN_WORDS words are similar to nothing; rows of one pending_id are one record; a null batch_id comes
@@ -14,29 +18,42 @@ before all others; files without pending rows are left out; empty tables give no
 
 from __future__ import annotations
 
+import io
+import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..runtime import cut, parts, small
+from ..runtime import BROADCAST_ROWS, cut, names_in, parts, read_bytes, remove, shared_dir, small, write_bytes
 from .cells import Cells
 from .graph import beam_search, build, entry_points, nearest
 from .near import MIN_WORDS, shingle_set
 from .ragged import flat, pack, runs, unpack
+from .vectors import cells_of
 
 BITS, SHINGLE = 64, 3
-#: Documents that the cells are fitted on, rows a shard is made for, and the queries of one task.
-FIT_ROWS, SHARD_ROWS, QUERY_ROWS = 20_000, 4096, 65_536
-#: Neighbours chosen at insertion and kept in all, and the beams of building and of asking; tuned against exhaustive search.
+#: Documents that the cells are fitted on: so many, so many for each cell, and at most.
+FIT_ROWS, FIT_EACH, FIT_MOST = 20_000, 32, 200_000
+#: Queries put together for a shard; a shard is made for this many rows at most, times 1.5.
+QUERY_ROWS = 4096
+#: Neighbours chosen at insertion and kept in all, and the beams of building and of asking; ``measure.py`` compares them with
+#: exhaustive search.
 FORWARD, DEGREE, BUILD_WIDTH, WIDTH = 12, 24, 24, 48
 #: Cells asked: at most PROBES, whose centroids are within MARGIN of the nearest. Texts as similar as 0.8 have a cosine near 0.89.
 PROBES, MARGIN, FLOOR = 8, 0.15, 0.6
 FAN_IN = 4
-SHARD = "start long, size long, cell long, sub long, ids binary, ords binary, v binary, graph binary"
+#: A batch of so few records is marked by one task. It changes no result.
+ONE_TASK = 5000
+RECORD = "id long, batch long, sha string, w string, v binary"
+KEY = "key string, first long"
+SHARD = "start long, size long, cell long, sub long, ids binary, v binary, graph binary"
 
 
 def digest(sha: Column) -> Column:
@@ -70,148 +87,221 @@ def segments_before(batch: int, fan_in: int = FAN_IN) -> list[tuple[int, int]]:
     return out
 
 
-def segments_of(batch: int, batches: int, fan_in: int = FAN_IN) -> list[tuple[int, int]]:
-    """The segments that hold this batch at some time while ``batches`` batches arrive."""
-    return sorted({s for b in range(batch + 1, batches) for s in segments_before(b, fan_in) if s[0] <= batch < s[0] + s[1]} | {(batch, 1)})
-
-
 #: The segment of the documents.
 DOCUMENTS = (-1, 1)
 
 
-def vectors(rows: DataFrame) -> DataFrame:
-    """id, ord, batch, fp, v from id, ord, batch, text; texts under MIN_WORDS words are left out."""
+def recorded(rows: DataFrame) -> DataFrame:
+    """(id, batch, sha, w, v) from (id, batch, sha, text): w names the sequence of words and v is its vector, both null under MIN_WORDS words."""
 
     def work(batches):
         for whole in batches:
             for s in range(0, whole.num_rows, 1000):
                 b = whole.slice(s, 1000)
-                yield pa.RecordBatch.from_arrays([*b.columns[:5], pack(projections(*flat(b.column(5))))], names=["id", "ord", "batch", "h", "h2", "v"])
+                v = pack(projections(*flat(b.column(4))))
+                v = pa.compute.if_else(b.column(3).is_valid(), v, pa.scalar(None, pa.binary()))
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], v], names=["id", "batch", "sha", "w", "v"])
 
-    w = rows.where("text is not null").select("id", "ord", "batch", T.word_hashes(F.col("text")).alias("w")).where(F.size("w") >= MIN_WORDS)
-    return w.select("id", "ord", "batch", F.xxhash64("w").alias("h"), F.xxhash64(F.lit(1), "w").alias("h2"), "w").mapInArrow(
-        work, "id long, ord long, batch long, h long, h2 long, v binary"
-    )
+    w = rows.select("id", "batch", "sha", T.word_hashes(F.col("text")).alias("words")).select("id", "batch", "sha", F.when(F.size("words") >= MIN_WORDS, F.col("words")).alias("words"))
+    name = F.concat(F.hex(F.xxhash64("words")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), "words")))
+    return w.select("id", "batch", "sha", F.when(F.col("words").isNotNull(), name).alias("w"), "words").mapInArrow(work, RECORD)
 
 
-def _deal(rows: DataFrame, cells: Cells, segments: dict[int, list[tuple[int, int]]], index: bool) -> DataFrame:
-    """Rows of (id, ord, batch, v) for each shard that holds them (index) or that they ask."""
+def segment_shards(points: DataFrame, cells: Cells, n: int, segment: tuple[int, int]) -> DataFrame:
+    """The shards of n points (id, v) as those of one segment: one row each, with its points and its graph."""
+    most = max(QUERY_ROWS, int(1.5 * n / len(cells.share)))
+    cells = replace(cells, subs=np.maximum(1, np.ceil(cells.share * n / most)).astype(np.int64))
+    ones = np.ones(len(cells.share), np.int64)
 
-    def work(batches):
+    def deal(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            ids, ords, batch = (b.column(i).to_numpy() for i in range(3))
-            x = unpack(b.column(3), np.float32, BITS)
-            yes, no = np.ones(len(ids), bool), np.zeros(len(ids), bool)
-            r, cell, sub, salt, _, _ = cells.shard_rows(ids, x, yes if index else no, no if index else yes)
-            for one in np.unique(batch):
-                q = np.flatnonzero(batch[r] == one)
-                for start, size in segments[int(one)]:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(q), start)), pa.array(np.full(len(q), size)), pa.array(cell[q]), pa.array(sub[q]), pa.array(salt[q]), pa.array(ids[r[q]]), pa.array(ords[r[q]]), pack(x[r[q]])],
-                        names=["start", "size", "cell", "sub", "salt", "id", "ord", "v"],
-                    )
-
-    return rows.select("id", "ord", "batch", "v").mapInArrow(work, "start long, size long, cell long, sub long, salt long, id long, ord long, v binary")
-
-
-def build_shards(rows: DataFrame, cells: Cells, segments: dict[int, list[tuple[int, int]]]) -> DataFrame:
-    """The shards of the given rows: one row each, with its points and its graph."""
+            for s in range(0, b.num_rows, 2000):
+                t = b.slice(s, 2000)
+                ids, x = t.column(0).to_numpy(), unpack(t.column(1), np.float32, BITS)
+                r, cell, sub, *_ = cells.deal(ids, x, ones, ask=False)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(sub), pa.array(ids[r]), pack(x[r])], names=["cell", "sub", "id", "v"])
 
     def work(t: pa.Table) -> pa.Table:
-        ids, ords = t.column("id").to_numpy(), t.column("ord").to_numpy()
-        x = unpack(t.column("v"), np.float32, BITS)
+        ids, x = t.column("id").to_numpy(), unpack(t.column("v"), np.float32, BITS)
         at = np.unique(ids, return_index=True)[1]
         at = np.random.default_rng(len(at)).permutation(at)
-        x, ids, ords = np.ascontiguousarray(x[at]), ids[at], ords[at]
+        x, ids = np.ascontiguousarray(x[at]), ids[at]
         graph = build(x, DEGREE, BUILD_WIDTH, choose=nearest, forward=FORWARD)
-        keys = [t.column(c)[0].as_py() for c in ("start", "size", "cell", "sub")]
-        kinds = [pa.int64()] * 4 + [pa.binary()] * 4
-        values = [*keys, ids.tobytes(), ords.tobytes(), x.tobytes(), graph.tobytes()]
-        return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["start", "size", "cell", "sub", "ids", "ords", "v", "graph"])
-
-    # points are needed once, not for each part of the queries
-    key = ["start", "size", "cell", "sub"]
-    n = cells.tasks(parts(rows.sparkSession))
-    return _deal(rows, cells, segments, True).where("salt = 0").repartition(n, *key).groupBy(*key).applyInArrow(work, SHARD)
-
-
-def ask_shards(shards: DataFrame, rows: DataFrame, cells: Cells, segments: dict[int, list[tuple[int, int]]], floor: float = FLOOR, width: int = WIDTH) -> DataFrame:
-    """(id, met, cosine): for each row what it meets before itself, by beam search in every shard it asks."""
-    key = ["start", "size", "cell", "sub", "salt"]
-    asked = _deal(rows, cells, segments, False)
-    salts = small(asked.select(*key).distinct().toDF("start", "size", "cell", "sub", "part"))
-    salted = shards.join(salts, key[:4])  # a shard goes to each part of its queries
-
-    def work(shard: pa.Table, q: pa.Table) -> pa.Table:
-        none = pa.table({"id": pa.array([], pa.int64()), "met": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
-        if not shard.num_rows or not q.num_rows:
-            return none
-        ids, ords = (np.frombuffer(shard.column(c)[0].as_py(), np.int64) for c in ("ids", "ords"))
-        x = np.frombuffer(shard.column("v")[0].as_py(), np.float32).reshape(-1, BITS)
-        graph = np.frombuffer(shard.column("graph")[0].as_py(), np.int32).reshape(len(x), -1)
-        qi, qo = q.column("id").to_numpy(), q.column("ord").to_numpy()
-        i, s = beam_search(x, graph, unpack(q.column("v"), np.float32, BITS), width, entry_points(len(x)))
-        r, c = np.nonzero((i >= 0) & (s >= floor))
-        found = i[r, c]
-        keep = ords[found] < qo[r]
-        return pa.table({"id": qi[r][keep], "met": ids[found][keep], "cosine": s[r, c][keep].astype(np.float64)})
-
-    n = cells.tasks(parts(rows.sparkSession))  # by size alone AQE would put many shards, long in work, into one task
-    salted, asked = salted.repartition(n, *key[:4], "part"), asked.repartition(n, *key)
-    return salted.groupBy(*key[:4], "part").cogroup(asked.groupBy(*key)).applyInArrow(work, "id long, met long, cosine double")
+        kinds = [pa.int64()] * 4 + [pa.binary()] * 3
+        values = [*segment, t.column("cell")[0].as_py(), t.column("sub")[0].as_py(), ids.tobytes(), x.tobytes(), graph.tobytes()]
+        return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["start", "size", "cell", "sub", "ids", "v", "graph"])
 
+    # a task for about each shard, fewer where shards are small
+    tasks = max(1, min(20_000, int(cells.subs.sum()), -(-n // 500)))
+    dealt = points.mapInArrow(deal, "cell long, sub long, id long, v binary")
+    return dealt.repartition(tasks, "cell", "sub").groupBy("cell", "sub").applyInArrow(work, SHARD)
 
-class HistoryIndex:
-    """The index in a folder: one Parquet table of shards for each segment. Adding a batch reads no other segment."""
 
-    def __init__(self, spark: SparkSession, path: str, cells: Cells):
-        self.spark, self.path, self.cells = spark, path.rstrip("/"), cells
-        self.segments: dict[tuple[int, int], str] = {}
+def ask_shards(shards: DataFrame, points: DataFrame, cells: Cells, n: int, own: int, floor: float = FLOOR, width: int = WIDTH) -> DataFrame:
+    """(id, met, cosine): what n points (id, v) meet in the shards; of the segment that starts with ``own`` only smaller ids.
+
+    The queries of a cell are put together; where all of them are few they are sent to where the shards lie.
+    """
+    salts = cells.salts(n, QUERY_ROWS)
+
+    def deal(batches):
+        for b in batches:
+            for s in range(0, b.num_rows, 2000):
+                t = b.slice(s, 2000)
+                ids, x = t.column(0).to_numpy(), unpack(t.column(1), np.float32, BITS)
+                near, ok = cells.near(x)
+                r, j = np.nonzero(ok)
+                cell = near[r, j]
+                salt = (ids[r].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)) % salts[cell].astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(salt.astype(np.int64)), pa.array(ids[r]), pack(x[r])], names=["cell", "salt", "id", "v"])
+
+    def together(t: pa.Table) -> pa.Table:
+        ids, x = t.column("id").to_numpy(), unpack(t.column("v"), np.float32, BITS)
+        at = np.unique(ids, return_index=True)[1]
+        values = [t.column("cell")[0].as_py(), ids[at].tobytes(), np.ascontiguousarray(x[at]).tobytes()]
+        return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(values, (pa.int64(), pa.binary(), pa.binary()))], names=["cell", "q", "qv"])
+
+    def search(batches):
+        for b in batches:
+            cols = {c: b.column(b.schema.get_field_index(c)) for c in b.schema.names}
+            for k in range(b.num_rows):
+                ids, q = (np.frombuffer(cols[c][k].as_py(), np.int64) for c in ("ids", "q"))
+                x, qv = (np.frombuffer(cols[c][k].as_py(), np.float32).reshape(-1, BITS) for c in ("v", "qv"))
+                graph = np.frombuffer(cols["graph"][k].as_py(), np.int32).reshape(len(x), -1)
+                i, s = beam_search(x, graph, qv, width, entry_points(len(x)))
+                r, c = np.nonzero((i >= 0) & (s >= floor))
+                met = ids[i[r, c]]
+                keep = met < q[r] if cols["start"][k].as_py() == own else np.ones(len(r), bool)
+                yield pa.RecordBatch.from_arrays([pa.array(q[r][keep]), pa.array(met[keep]), pa.array(s[r, c][keep].astype(np.float64))], names=["id", "met", "cosine"])
+
+    tasks = max(1, min(parts(points.sparkSession), int(salts.sum()), -(-n // 500)))
+    asked = points.mapInArrow(deal, "cell long, salt long, id long, v binary").repartition(tasks, "cell", "salt").groupBy("cell", "salt").applyInArrow(together, "cell long, q binary, qv binary")
+    asked = F.broadcast(asked) if n * len(cells.share) <= BROADCAST_ROWS // 2 or n * min(cells.most, 4) <= BROADCAST_ROWS // 4 else asked
+    return shards.join(asked, "cell").mapInArrow(search, "id long, met long, cosine double")
 
-    def add(self, rows: DataFrame, segment: tuple[int, int]) -> None:
-        """Rows (id, ord, batch, v) as a segment."""
-        at = f"{self.path}/segment-{segment[0]}-{segment[1]}-{uuid.uuid4().hex[:8]}"
-        batches = [r[0] for r in rows.select("batch").distinct().collect()]
-        build_shards(rows, self.cells, {b: [segment] for b in batches}).write.parquet(at)
-        self.segments[segment] = at
+
+class HistoryIndex:
+    """The index in a folder. ``segments`` has the folder of each (start, size); ``next`` is the number the next batch gets."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        """Opens the index as its newest manifest tells it."""
+        self.spark, self.path = spark, path.rstrip("/")
+        known = [n for n in names_in(spark, self.path) if n.startswith("manifest-") and n.endswith(".json")]
+        if not known:
+            raise FileNotFoundError(f"no index in {path}")
+        state = json.loads(read_bytes(spark, f"{self.path}/{known[-1]}"))
+        self.step, self.next = state["step"], state["next"]
+        self.pool, self.open, self.spent = ThreadPoolExecutor(3), [], []
+        self.segments = {(a, b): at for a, b, at in state["segments"]}
+        with np.load(io.BytesIO(read_bytes(spark, f"{self.path}/cells.npz"))) as z:
+            self.cells = Cells(z["centroids"], z["begin"], z["share"], np.ones(len(z["share"]), np.int64), int(z["most"]), float(z["margin"]))
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, cells: Cells) -> HistoryIndex:
+        path, out = path.rstrip("/"), io.BytesIO()
+        np.savez(out, centroids=cells.centroids, begin=cells.begin, share=cells.share, most=cells.most, margin=cells.margin)
+        write_bytes(spark, f"{path}/cells.npz", out.getvalue())
+        write_bytes(spark, f"{path}/manifest-00000000.json", json.dumps({"step": 0, "next": DOCUMENTS[0], "segments": []}).encode())
+        return cls(spark, path)
+
+    def _commit(self, segments: dict, following: int) -> None:
+        state = {"step": self.step + 1, "next": following, "segments": [[*k, at] for k, at in segments.items()]}
+        write_bytes(self.spark, f"{self.path}/manifest-{self.step + 1:08d}.json", json.dumps(state).encode())
+        self.step, self.next, self.segments = self.step + 1, following, segments
+
+    def _folder(self, segment: tuple[int, int]) -> str:
+        return f"{self.path}/segment-{segment[0]}-{segment[1]}-{uuid.uuid4().hex[:8]}"
+
+    def _read(self, what: str, schema: str, of: dict) -> DataFrame:
+        if not of:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(f"{at}/{what}" for at in of.values()))
+
+    def take(self, records: DataFrame, out: str | None = None, wait: bool = True) -> None:
+        """Takes a batch (id, sha, w, v) in as the next segment. With ``out``, appends to out/told (id, exact, same) the records
+        whose digest or words a record before has, and to out/met (id, met, cosine) what the others' texts are near to; without
+        ``wait`` that may still go on when the next batch is taken, up to ``settle``."""
+        segment = (self.next, 1)
+        folder = self._folder(segment)
+        held = records.select("id", "sha", "w", "v")
+        n = held.count()
+        if n <= ONE_TASK:
+            held = held.coalesce(1)
+        hint = F.broadcast if n <= BROADCAST_ROWS // 16 else (lambda df: df)  # a record has at most two keys of 80 characters, a segment a key once
+        keys = held.select("id", F.explode(F.array_compact(F.array(F.concat(F.lit("d"), "sha"), F.concat(F.lit("w"), "w")))).alias("key"))
+        firsts = keys.groupBy("key").agg(F.min("id").alias("first"))
+        written = self.pool.submit(firsts.write.option("compression", "zstd").parquet, f"{folder}/keys")
+        repeated = keys.join(hint(firsts), "key")
+        if self.segments:
+            old = self._read("keys", KEY, self.segments).join(hint(firsts.select("key")), "key", "left_semi").select("key", F.lit(True).alias("old"))
+            repeated = repeated.join(hint(old), "key", "left").where("old or id <> first")
+        else:
+            repeated = repeated.where("id <> first")
+        told = repeated.groupBy("id").agg(F.max(F.col("key").startswith("d")).alias("exact"), F.max(F.col("key").startswith("w")).alias("same"))
+        marked = held.join(hint(told), "id", "left").select("id", "exact", "same", F.when(F.col("same").isNull() | ~F.col("same"), F.col("v")).alias("v"))
+        marked.where("v is not null or exact or same").write.option("compression", "zstd").parquet(f"{folder}/taken")
+        taken = self.spark.read.schema("id long, exact boolean, same boolean, v binary").parquet(f"{folder}/taken")
+        points = taken.where("v is not null").select("id", "v")
+        segment_shards(points, self.cells, n, segment).write.option("compression", "none").parquet(f"{folder}/shards")
+        written.result()
+        segments = {**self.segments, segment: folder}
+        if out:
+            shards = self._read("shards", SHARD, segments)
+            self.open.append(self.pool.submit(taken.where("exact or same").select("id", "exact", "same").write.parquet, f"{out}/told/{segment[0]}"))
+            self.open.append(self.pool.submit(ask_shards(shards, points, self.cells, n, segment[0]).write.parquet, f"{out}/met/{segment[0]}"))
+        self.spent.append(f"{folder}/taken")
+        self._commit(segments, self.next + 1)
+        if wait:
+            self.settle()
+        self.compact()
+
+    def settle(self) -> None:
+        """Waits for what is still being asked."""
+        while self.open:
+            self.open.pop().result()
+        while self.spent:
+            remove(self.spark, self.spent.pop())
 
     def compact(self, fan_in: int = FAN_IN) -> None:
-        """Joins every complete group of fan_in neighbouring segments of one size, until there is none."""
+        """Joins every complete group of fan_in neighbouring segments of one size, until there is none. The documents' segment stays."""
         while True:
-            groups = {}
+            groups: dict = {}
             for start, size in self.segments:
                 if start >= 0:
                     groups.setdefault((start // (size * fan_in), size), []).append((start, size))
-            full = [g for g in groups.values() if len(g) == fan_in]
+            full = [sorted(g) for g in groups.values() if len(g) == fan_in]
             if not full:
                 return
             for g in full:
-                def unroll(batches):
-                    for b in batches:
-                        for ids, ords, v in zip(*(b.column(c).to_pylist() for c in range(3))):
-                            ids, ords = np.frombuffer(ids, np.int64), np.frombuffer(ords, np.int64)
-                            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ords), pa.array(np.zeros(len(ids), np.int64)), pack(np.frombuffer(v, np.float32).reshape(-1, BITS))], names=["id", "ord", "batch", "v"])
-
-                old = self.spark.read.schema(SHARD).parquet(*(self.segments[s] for s in g))
-                self.add(old.select("ids", "ords", "v").mapInArrow(unroll, "id long, ord long, batch long, v binary"), (min(g)[0], g[0][1] * fan_in))
-                for s in g:
-                    del self.segments[s]
-
-    def ask(self, rows: DataFrame) -> DataFrame:
-        """(id, met, cosine) of rows (id, ord, batch, v) in all segments."""
-        shards = self.spark.read.schema(SHARD).parquet(*self.segments.values())
-        batches = [r[0] for r in rows.select("batch").distinct().collect()]
-        return ask_shards(shards, rows, self.cells, {b: list(self.segments) for b in batches})
-
-
-def cells_for(rows: DataFrame, n: int, queries: int) -> Cells:
-    share = min(1.0, 1.2 * FIT_ROWS / max(1, n))
-    x = unpack(rows.select("v").sample(share, seed=5).limit(FIT_ROWS).toArrow().column(0), np.float32, BITS)
-    if not len(x):
-        x = np.eye(1, BITS, dtype=np.float32)
-    return Cells.of(x, max(n, 1), SHARD_ROWS, QUERY_ROWS, PROBES, MARGIN)
+                self._join(g)
+
+    def _join(self, g: list[tuple[int, int]]) -> None:
+        def unroll(batches):
+            for b in batches:
+                for ids, v in zip(*(b.column(c).to_pylist() for c in range(2))):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, np.int64)), pack(np.frombuffer(v, np.float32).reshape(-1, BITS))], names=["id", "v"])
+
+        old = {s: self.segments[s] for s in g}
+        new = (g[0][0], g[0][1] * len(g))
+        folder = self._folder(new)
+        shards = self._read("shards", SHARD, old)
+        n = shards.select(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)) / 8).first()[0]
+        points = shards.select("ids", "v").mapInArrow(unroll, "id long, v binary")
+        segment_shards(points, self.cells, int(n), new).write.option("compression", "none").parquet(f"{folder}/shards")
+        keys = self._read("keys", KEY, old)
+        keys.groupBy("key").agg(F.min("first").alias("first")).coalesce(max(1, min(parts(self.spark), int(n) // 100_000))).write.option("compression", "zstd").parquet(f"{folder}/keys")
+        self._commit({**{s: at for s, at in self.segments.items() if s not in old}, new: folder}, self.next)
+        self.settle()  # what is asked reads the old segments
+        for at in old.values():
+            remove(self.spark, at)
+
+
+def cells_for(points: DataFrame, n: int) -> Cells:
+    """Cells for an index of about n points (v), fitted on a bounded sample of them."""
+    many = cells_of(n)
+    want = min(FIT_MOST, max(FIT_ROWS, FIT_EACH * many))
+    x = unpack(points.select("v").sample(min(1.0, 1.2 * want / max(1, n)), seed=5).limit(want).toArrow().column(0), np.float32, BITS)
+    return Cells.of(x if len(x) else np.eye(1, BITS, dtype=np.float32), max(n, 1), many, PROBES, MARGIN)
 
 
 def records(pending: DataFrame) -> DataFrame:
@@ -221,51 +311,46 @@ def records(pending: DataFrame) -> DataFrame:
     )
 
 
-def repeated_digests(documents: DataFrame, files: DataFrame) -> DataFrame:
-    """pending_id of the files whose digest a document or a file before has."""
-    known = documents.select(digest(F.col("sha256")).alias("sha")).where("sha is not null").distinct()
-    told = files.where("sha is not null")
-    first = told.groupBy("sha").agg(F.min(F.struct("batch_id", "pending_id")).alias("first"))
-    later = told.join(first, "sha").where((F.col("first.batch_id") != F.col("batch_id")) | (F.col("first.pending_id") != F.col("pending_id"))).select("pending_id")
-    return told.join(known, "sha", "left_semi").select("pending_id").union(later).distinct()
-
-
-def near_files(documents: DataFrame, files: DataFrame, staged: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """pending_id of the files whose text is similar to that of a document or of a file before."""
-    spark = documents.sparkSession
-    ranks = {r[0]: k for k, r in enumerate(files.select("batch_id").distinct().orderBy("batch_id").collect())}  # one number for each batch
-    if not ranks:
-        return files.select("pending_id").limit(0)
-    rank = F.create_map(*[F.lit(x).cast("long") for kv in ranks.items() for x in kv])[F.col("batch_id")]
-    docs = documents.where("doc_id is not null").select((F.col("doc_id").cast("long") * 2).alias("id"), F.col("doc_id").cast("long").alias("ord"), F.lit(-1).cast("long").alias("batch"), "text")
-    texts = staged.select(F.col("pending_id").cast("long").alias("pending_id"), "text").where("text is not null").dropDuplicates(["pending_id"]).join(files, "pending_id")
-    new = texts.select((F.col("pending_id") * 2 + 1).alias("id"), ((rank + 1) * 2**44 + F.col("pending_id")).alias("ord"), rank.alias("batch"), "text")
-    rows = cut(vectors(docs.unionByName(new)))
-
-    # texts with the same words: the first stands for all, the others repeat it
-    first = rows.groupBy("h", "h2").agg(F.min("ord").alias("first"))
-    marked = cut(rows.join(first, ["h", "h2"]).select("id", "ord", "batch", "v", (F.col("ord") == F.col("first")).alias("new")))
-    same = marked.where("not new and batch >= 0").select("id")
-    index = marked.where("new").drop("new")
-    counts = {r[0]: r[1] for r in index.groupBy(F.col("batch") >= 0).count().collect()}
-    cells = cells_for(index.where("batch < 0") if counts.get(False) else index, sum(counts.values()), counts.get(True, 0))
-    n = len(ranks)
-    shards = cut(build_shards(index, cells, {-1: [DOCUMENTS], **{b: segments_of(b, n) for b in range(n)}}))
-    asks = {b: [DOCUMENTS, *segments_before(b), (b, 1)] for b in range(n)}
-    met = cut(ask_shards(shards, index.where("batch >= 0"), cells, asks).select(F.col("id").alias("b"), F.col("met").alias("a")).distinct())
-
-    needed = small(met.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    held = docs.select("id", "text").unionByName(new.select("id", "text")).where("text is not null").join(needed, "id", "left_semi")
+def exact_near(met: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """id of the (id, met) whose texts are similar; texts: (id, text), of which only the needed ones are read into sets."""
+    needed = small(cut(met.select(F.explode(F.array("id", "met")).alias("id")).distinct()))
+    held = texts.where("text is not null").join(needed, "id", "left_semi")
     sets = cut(held.select("id", T.word_hashes(F.col("text")).alias("w")).select("id", shingle_set(F.col("w")).alias("s")))
-    pairs = met.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    pairs = met.join(sets.select("id", F.col("s").alias("sb")), "id").join(sets.select(F.col("id").alias("met"), F.col("s").alias("sa")), "met")
     both = F.size(F.array_intersect("sa", "sb"))
-    near = pairs.select("b", F.size("sa").alias("na"), F.size("sb").alias("nb"), both.alias("ab")).where(F.col("ab") >= (F.col("na") + F.col("nb") - F.col("ab")) * threshold - 1e-9)
-    return same.union(near.select(F.col("b").alias("id"))).select(((F.col("id") - 1) / 2).cast("long").alias("pending_id")).distinct()
+    near = pairs.select("id", F.size("sa").alias("na"), F.size("sb").alias("nb"), both.alias("ab")).where(F.col("ab") >= (F.col("na") + F.col("nb") - F.col("ab")) * threshold - 1e-9)
+    return near.select("id").distinct()
 
 
-def found(documents: DataFrame, pending: DataFrame, staged: DataFrame) -> DataFrame:
-    """(pending_id, kind): exact or near, one row for each file that repeats something."""
+def found(documents: DataFrame, pending: DataFrame, staged: DataFrame, threshold: float = 0.8, path: str | None = None) -> DataFrame:
+    """(pending_id, kind): exact or near, one row for each file that repeats something.
+
+    The index is built in ``path`` (a folder of its own without one): the documents first, then batch by batch in order.
+    """
+    spark = documents.sparkSession
     files = cut(records(pending))
-    exact = cut(repeated_digests(documents, files))
-    near = near_files(documents, files, staged).join(exact, "pending_id", "left_anti")
-    return exact.select("pending_id", F.lit("exact").alias("kind")).union(near.select("pending_id", F.lit("near").alias("kind")))
+    batches = [r[0] for r in files.select("batch_id").distinct().orderBy("batch_id").collect()]  # one number for each batch
+    empty = spark.createDataFrame([], "pending_id long, kind string")
+    if not batches:
+        return empty
+    path = path or f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    docs = documents.where("doc_id is not null").select(F.shiftleft(F.col("doc_id").cast("long"), 1).alias("id"), F.lit(DOCUMENTS[0]).cast("long").alias("batch"), digest(F.col("sha256")).alias("sha"), "text")
+    told = staged.select(F.col("pending_id").cast("long").alias("pending_id"), "text").where("text is not null and pending_id is not null").dropDuplicates(["pending_id"])
+    new = files.join(told, "pending_id", "left").select((F.shiftleft("pending_id", 1) + 1).alias("id"), F.col("batch_id").alias("batch"), "sha", "text")
+
+    accepted = cut(recorded(docs))
+    # a batch is a folder of its own, of a few files, so that to take it no other is read
+    coming = cut(recorded(new).repartition(parts(spark), "batch", F.pmod(F.xxhash64("id"), F.lit(4))), ["batch"])
+    points = accepted.where("v is not null")
+    index = HistoryIndex.create(spark, f"{path}/index", cells_for(points, points.count()))
+    index.take(accepted)
+    for b in batches:
+        index.take(coming.where(F.col("batch") == b), f"{path}/out", wait=False)
+    index.settle()
+
+    told = spark.read.schema("id long, exact boolean, same boolean").option("recursiveFileLookup", "true").parquet(f"{path}/out/told")
+    met = spark.read.schema("id long, met long, cosine double").option("recursiveFileLookup", "true").parquet(f"{path}/out/met").select("id", "met").distinct()
+    near = exact_near(cut(met), docs.select("id", "text").unionByName(new.select("id", "text")), threshold)
+    kinds = told.select("id", F.when(F.col("exact"), 0).otherwise(1).alias("k")).union(near.select("id", F.lit(1)))
+    best = kinds.groupBy("id").agg(F.min("k").alias("k"))
+    return best.select(F.shiftright("id", 1).alias("pending_id"), F.when(F.col("k") == 0, "exact").otherwise("near").alias("kind"))

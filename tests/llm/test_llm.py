@@ -1,13 +1,15 @@
 import itertools
 import random
 import re
+import shutil
+import tracemalloc
 import unicodedata
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import copies, encode, graph, history, leaks, near, pieces, residue, scans, together, vectors
+from corpusmill.llm import cells, copies, encode, graph, history, leaks, near, pieces, residue, scans, together, vectors
 
 W = re.compile(r"[^\W_]+")
 
@@ -115,19 +117,44 @@ def test_p1_compaction_schedule():
         assert sorted(x for s, n in history.segments_before(b) for x in range(s, s + n)) == list(range(b))
 
 
-def test_p1_index_in_a_folder(spark, tmp_path):
-    t = texts(40, 3)
-    df = spark.createDataFrame([(i, i, i // 20, x) for i, x in enumerate(t)], "id long, ord long, batch long, text string")
-    v = history.vectors(df).select("id", "ord", "batch", "v").cache()
-    index = history.HistoryIndex(spark, str(tmp_path), history.cells_for(v, 80, 80))
-    for b in range(4):
-        index.add(v.where(F.col("batch") == b), (b, 1))
-    before = set(rows(index.ask(v), "id", "met"))
-    index.compact()
-    assert list(index.segments) == [(0, 4)]
-    after = set(rows(index.ask(v), "id", "met"))
-    same = {(j, i) for i, j in itertools.combinations(range(80), 2) if jaccard(t[i], t[j]) >= 0.8}
-    assert len(same & before) >= 0.95 * len(same) and len(same & after) >= 0.95 * len(same)
+def test_p1_many_cells_and_compaction_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD_ROWS", 16)
+    made, of = [], history.Cells.of
+    monkeypatch.setattr(history.Cells, "of", lambda *a: made.append(of(*a)) or made[-1])
+    t = texts(300, 8)
+    docs = spark.createDataFrame([(i, None, t[i]) for i in range(400)], "doc_id long, sha256 string, text string")
+    p = spark.createDataFrame([(i, i % 6, None) for i in range(400, 600)], "pending_id long, batch_id int, sha256 string")
+    staged = spark.createDataFrame([(i, t[i]) for i in range(400, 600)], "pending_id long, text string")
+    order = sorted(range(400, 600), key=lambda i: (i % 6, i))
+    want = {i for k, i in enumerate(order) if any(jaccard(t[i], t[j]) >= 0.8 for j in [*range(400), *order[:k]])}
+    got = {r[0] for r in rows(history.found(docs, p, staged), "pending_id")}
+    assert len(made[0].centroids) >= 8 and got <= want and len(got) >= 0.98 * len(want) > 50
+
+
+def test_p1_index_is_opened_again_and_reads_no_former_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD_ROWS", 8)
+    t = texts(60, 3)
+    df = spark.createDataFrame([(i, i // 20, "%064x" % (i % 90), x) for i, x in enumerate(t)], "id long, batch long, sha string, text string")
+    path, out = str(tmp_path / "index"), str(tmp_path / "out")
+    first = history.recorded(df.where("batch = 0"))
+    history.HistoryIndex.create(spark, path, history.cells_for(first.where("v is not null"), 20)).take(first)
+    for b in range(1, 6):
+        source = str(tmp_path / f"batch{b}")
+        df.where(F.col("batch") == b).write.parquet(source)
+        index = history.HistoryIndex(spark, path)
+        index.take(history.recorded(spark.read.parquet(source)), out)
+        shutil.rmtree(source)  # whatever reads a former batch again fails
+    assert set(index.segments) == {(-1, 1), (0, 4), (4, 1)} and len(index.cells.centroids) >= 2
+    told = spark.read.option("recursiveFileLookup", "true").schema("id long, exact boolean, same boolean").parquet(out + "/told")
+    assert {r[0] for r in rows(told, "id") if r} >= set(range(90, 120))  # digests come again after 90
+    met = {(r.id, r.met) for r in spark.read.option("recursiveFileLookup", "true").schema("id long, met long, cosine double").parquet(out + "/met").collect()}
+    words_of = {i: words(x) for i, x in enumerate(t)}
+    firsts = {i for i in range(120) if not any(words_of[j] == words_of[i] for j in range(i))}
+    same = {(j, i) for i, j in itertools.combinations(sorted(firsts), 2) if j >= 20 and jaccard(t[i], t[j]) >= 0.8}
+    assert all(j > i for j, i in met) and len(same & met) >= 0.98 * len(same) > 5
+    left = history.HistoryIndex(spark, path)
+    left.take(history.recorded(df.limit(0)), out)
+    assert left.next == 6
 
 
 def test_p6_recall_and_bad_vectors(spark):
@@ -151,7 +178,7 @@ def test_p6_recall_and_bad_vectors(spark):
 
 
 def test_p6_recall_at_many_cells(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "SHARD_ROWS", 40)
+    monkeypatch.setattr(vectors, "SHARD_ROWS", 8)
     made, of = [], vectors.Cells.of
     monkeypatch.setattr(vectors.Cells, "of", lambda *a: made.append(of(*a)) or made[-1])
     rng = np.random.default_rng(4)
@@ -162,8 +189,40 @@ def test_p6_recall_at_many_cells(spark, monkeypatch):
     np.fill_diagonal(near, -9)
     true = np.argsort(-near, axis=1)[:, :10]
     got = rows(vectors.ten(df), "chunk_id", "neighbour_id")
-    assert len(set(got) & {(i, int(j)) for i in range(4000) for j in true[i]}) > 0.9 * 40_000
-    assert len(made[0].centroids) == 100 and made[0].most == 20
+    assert len(set(got) & {(i, int(j)) for i in range(4000) for j in true[i]}) > 0.95 * 40_000
+    assert len(made[0].centroids) == 106 and made[0].most == 21
+
+
+def test_p6_found_is_ten_at_the_least_cosine_and_copies_are_no_crowd(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(900, 64))
+    x[300:600] = x[7]  # a third of all are copies of one
+    x[600:640] = x[:40] + 0.05 * rng.normal(size=(40, 64))
+    x[700:702] = x[650]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, embedding array<double>")
+    ten = vectors.ten(df).collect()
+    by = {}
+    for r in ten:
+        by.setdefault(r.chunk_id, []).append((r.rank, r.neighbour_id, r.cosine))
+    assert len(by) == 900 and all(len(v) == 10 for v in by.values())
+    assert [n for _, n, _ in sorted(by[7])] == list(range(300, 310)) and [n for _, n, _ in sorted(by[305])] == [7, *range(300, 305), *range(306, 310)]
+    assert {n for _, n, c in by[607] if c >= 0.9} == {7, *range(300, 309)} and {n for _, n, c in by[650] if c > 0.99} == {700, 701}
+    pairs = {(min(r.chunk_id, r.neighbour_id), max(r.chunk_id, r.neighbour_id)) for r in ten if r.cosine >= 0.9}
+    assert set(rows(vectors.similar(df), "chunk_id_a", "chunk_id_b")) == pairs
+
+
+def test_cells_of_two_levels_stay_small_and_find_the_near_ones():
+    rng = np.random.default_rng(2)
+    sample = rng.normal(size=(60_000, 64)).astype(np.float32) + 2 * rng.normal(size=(2000, 64)).astype(np.float32)[rng.integers(0, 2000, 60_000)]
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    tracemalloc.start()
+    c = cells.Cells.of(sample, 10**8, 10_000, 16, 0.15)
+    near, ok = c.near(sample[:10_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 9000 < len(c.centroids) < 11_000 and len(c.begin) > 90 and peak < 300e6
+    best = (sample[:500] @ c.centroids.T).argmax(1)
+    assert (near[:500, 0] == best).mean() > 0.97 and ok[:, 0].all() and np.isclose(c.share.sum(), 1)
 
 
 def test_p6_prune_keeps_diverse_edges():
