@@ -8,7 +8,7 @@ worked in slices, so memory doesn't grow with the batch.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 
@@ -57,12 +57,14 @@ def fit(sample: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
 class Cells:
     """A vector's home is its nearest cell; it asks at most ``most`` cells, those whose centroids are within ``margin`` of the nearest.
 
-    share: of all rows, in each cell. subs: into how many shards a cell's points are dealt.
+    share: of all rows, in each cell. asked: how often each cell is asked, for each row that asks. subs: into how many shards a
+    cell's points are dealt.
     """
 
     centroids: np.ndarray
     begin: np.ndarray
     share: np.ndarray
+    asked: np.ndarray
     subs: np.ndarray
     most: int
     margin: float
@@ -71,15 +73,17 @@ class Cells:
     def of(cls, sample: np.ndarray, rows: int, cells: int, most: int, margin: float, shard: int | None = None) -> Cells:
         """For about ``rows`` rows, of which ``sample`` is one; cells of more than ``shard`` rows are dealt into several shards."""
         c, begin = fit(sample, cells)
-        first = cls(c, begin, np.ones(len(c)) / len(c), np.ones(len(c), np.int64), 1, 0.0)
-        home = np.concatenate([first.near(sample[i : i + SLICE])[0][:, 0] for i in range(0, len(sample), SLICE)]) if len(sample) else np.zeros(0, int)
-        share = np.bincount(home, minlength=len(c)) / max(1, len(sample))
-        subs = np.maximum(1, np.ceil(share * rows / (shard or 1.5 * rows / len(c)))).astype(np.int64)
-        return cls(c, begin, share, subs, most, margin)
+        one = np.ones(len(c), np.int64)
+        cells = cls(c, begin, one / len(c), one / len(c), one, most, margin)
+        near, ok = cells.near(sample)
+        share = np.bincount(near[:, 0], minlength=len(c)) / max(1, len(sample))
+        asked = np.bincount(near[ok], minlength=len(c)) / max(1, len(sample))
+        subs = np.maximum(1, np.ceil(share * rows / (shard or 3 * rows / len(c)))).astype(np.int64)
+        return replace(cells, share=share, asked=asked, subs=subs)
 
     def salts(self, rows: int, queries: int) -> np.ndarray:
         """Into how many parts the queries of each cell are dealt, so that a part has about ``queries`` of them; ``rows`` vectors ask."""
-        return np.maximum(1, np.ceil(self.share * rows * min(self.most, len(self.share), 4) / queries)).astype(np.int64)
+        return np.maximum(1, np.ceil(self.asked * rows / queries)).astype(np.int64)
 
     def _nearest(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest cells and their similarities, in no order."""

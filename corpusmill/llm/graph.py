@@ -11,6 +11,10 @@ own and ends when all of it is expanded.
 
 from __future__ import annotations
 
+import ctypes
+import re
+from functools import lru_cache
+
 import numpy as np
 
 BATCH = 2048
@@ -18,11 +22,28 @@ BATCH = 2048
 BLOCK = 128
 
 
+@lru_cache
+def one_thread() -> None:
+    """Has this process work matrix products in one thread: they are small here, so more threads would only wait for each other
+    while the cores have other tasks. Where NumPy's library isn't known, nothing is done."""
+    try:
+        with open("/proc/self/maps", encoding="utf-8") as maps:
+            paths = set(re.findall(r"\S*openblas\S*\.so\S*", maps.read()))
+    except OSError:
+        return
+    for path in paths:
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads"):
+            if setter := getattr(ctypes.CDLL(path), name, None):
+                setter(1)
+                break
+
+
 def beam_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, width: int, entries: np.ndarray, expand: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """The ``width`` best points met from the entries on, with their similarities, best first (-1 and -inf behind the last).
 
     In every step the ``expand`` best points not yet expanded are, until none is left among the best ``width``.
     """
+    one_thread()
     out_i = np.full((len(queries), width), -1, np.int32)
     out_s = np.full((len(queries), width), -np.inf, np.float32)
     if not len(x):
@@ -117,6 +138,7 @@ def build(x: np.ndarray, degree: int = 24, width: int = 32, alpha: float = 1.02,
 
     ``met`` gets (points, neighbours found, similarities) of every insertion.
     """
+    one_thread()
     n = len(x)
     graph = np.full((n, degree), -1, np.int32)
     if n < 2:

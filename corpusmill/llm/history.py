@@ -176,7 +176,7 @@ def ask_shards(shards: DataFrame, points: DataFrame, cells: Cells, n: int, own:
 
     tasks = max(1, min(parts(points.sparkSession), int(salts.sum()), -(-n // 500)))
     asked = points.mapInArrow(deal, "cell long, salt long, id long, v binary").repartition(tasks, "cell", "salt").groupBy("cell", "salt").applyInArrow(together, "cell long, q binary, qv binary")
-    asked = F.broadcast(asked) if n * len(cells.share) <= BROADCAST_ROWS // 2 or n * min(cells.most, 4) <= BROADCAST_ROWS // 4 else asked
+    asked = F.broadcast(asked) if n * cells.most <= BROADCAST_ROWS // 2 else asked  # each asks no more cells, with 264 bytes
     return shards.join(asked, "cell").mapInArrow(search, "id long, met long, cosine double")
 
 
@@ -194,12 +194,12 @@ class HistoryIndex:
         self.pool, self.open, self.spent = ThreadPoolExecutor(3), [], []
         self.segments = {(a, b): at for a, b, at in state["segments"]}
         with np.load(io.BytesIO(read_bytes(spark, f"{self.path}/cells.npz"))) as z:
-            self.cells = Cells(z["centroids"], z["begin"], z["share"], np.ones(len(z["share"]), np.int64), int(z["most"]), float(z["margin"]))
+            self.cells = Cells(z["centroids"], z["begin"], z["share"], z["asked"], np.ones(len(z["share"]), np.int64), int(z["most"]), float(z["margin"]))
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, cells: Cells) -> HistoryIndex:
         path, out = path.rstrip("/"), io.BytesIO()
-        np.savez(out, centroids=cells.centroids, begin=cells.begin, share=cells.share, most=cells.most, margin=cells.margin)
+        np.savez(out, centroids=cells.centroids, begin=cells.begin, share=cells.share, asked=cells.asked, most=cells.most, margin=cells.margin)
         write_bytes(spark, f"{path}/cells.npz", out.getvalue())
         write_bytes(spark, f"{path}/manifest-00000000.json", json.dumps({"step": 0, "next": DOCUMENTS[0], "segments": []}).encode())
         return cls(spark, path)

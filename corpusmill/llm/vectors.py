@@ -34,9 +34,9 @@ FIT_ROWS, FIT_EACH, FIT_MOST = 20_000, 32, 200_000
 #: Rows of a shard while there are few; the number of cells grows with the power POWER of that of the rows, so shards grow
 #: slowly too: a search in a larger graph is hardly longer, but neighbours are spread over fewer cells.
 SHARD_ROWS, POWER, QUERY_ROWS = 4096, 0.75, 65_536
-DEGREE, BUILD_WIDTH, ALPHA = 24, 32, 1.02
+DEGREE, BUILD_WIDTH, ALPHA = 24, 24, 1.02
 #: The beam of asking, and the cells asked: those within MARGIN of the nearest, at least MOST of them or twice the root of their number.
-WIDTH, MOST, MARGIN = 48, 5, 0.15
+WIDTH, MOST, MARGIN = 32, 5, 0.15
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame:
@@ -77,7 +77,7 @@ def neighbours(df: DataFrame, k: int = 10, least: float = -2.0, width: int = WID
     marked = rows.join(copied, ["h", "h2"], "left")
     points = marked.where("rep is null or rep = id").select("id", "v")
     cells = fitted(points, dim, n, most, margin)
-    salts = cells.salts(n, max(QUERY_ROWS, 4 * n // len(cells.share)))
+    salts = cells.salts(n, max(QUERY_ROWS, 3 * n // len(cells.share)))
 
     def deal(batches):
         for b in batches:
