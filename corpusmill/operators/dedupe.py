@@ -15,6 +15,8 @@ from .components import connected_components
 from .segmentation import bottom, shingles
 
 SLOTS, BANDS, SHINGLE_CAP, EXACT_CHARS, NEAR_CHARS = 64, 16, 800, 40, 300
+#: Representatives of one block of a bucket. It changes no result.
+BUCKET = 1000
 #: Slot i is salted with i * 2654435761 modulo 2^32.
 SEEDS = [(i * 2654435761) % 2**32 for i in range(SLOTS)]
 
@@ -55,6 +57,16 @@ def estimate(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) / SLOTS
 
 
+def met_in_blocks(keys: DataFrame) -> DataFrame:
+    """(a, b), a < b: reps that meet under a key of (rep, key). A key of many reps is dealt into blocks; each two blocks meet apart."""
+    keys = cut(keys)
+    many = small(cut(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("key", F.ceil(F.col("n") / BUCKET).cast("int").alias("blocks"))))
+    dealt = keys.join(many, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    left = dealt.select("key", F.col("block").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"), F.col("rep").alias("p"))
+    right = dealt.select("key", F.explode(F.sequence(F.lit(0), "block")).alias("x"), F.col("block").alias("y"), F.col("rep").alias("q"))
+    return left.join(right, ["key", "x", "y"]).where("x < y or p < q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).where("a < b").distinct()
+
+
 def near_pairs(sigs: DataFrame, threshold: float = 0.80) -> DataFrame:
     """(a, b, similarity), a < b: documents with an equal band of 4 slots and enough equal slots.
 
@@ -66,7 +78,7 @@ def near_pairs(sigs: DataFrame, threshold: float = 0.80) -> DataFrame:
     reps = keyed.groupBy("h", "sig").agg(F.min("doc_id").alias("rep"))
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.slice("sig", b * rows + 1, rows).alias("rows")))
     keys = reps.select("rep", F.explode(bands).alias("k")).select("rep", F.xxhash64("k.band", "k.rows").alias("key"))
-    met = keys.alias("x").join(keys.alias("y"), F.expr("x.key = y.key and x.rep < y.rep")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    met = met_in_blocks(keys)
     side = lambda n: reps.select(F.col("rep").alias(n), F.col("sig").alias(f"s{n}"))
     near = met.join(side("a"), "a").join(side("b"), "b").select("a", "b", estimate(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold)
     copies = keyed.join(reps.select("h", "sig", "rep"), ["h", "sig"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity"))

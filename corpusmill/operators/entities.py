@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import cut, small
+from .baskets import pair_counts, supported, weighted_baskets
 from .components import connected_components
 
 #: The grammar of tags, words that mean nothing, and legal suffixes of makers' names.
@@ -113,13 +114,13 @@ def registry_summary(keys: DataFrame) -> DataFrame:
 
 
 def shared(links: DataFrame, least: int = 1) -> DataFrame:
-    """(a, b, shared, n_a, n_b), a < b: documents that two items share. Items in fewer than ``least`` documents are left out first."""
-    once = links.dropna(subset=["equipment_id", "document_id"]).select("equipment_id", "document_id").distinct()
-    n = once.groupBy("equipment_id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    rows = once.join(small(n), "equipment_id")
-    x = rows.select("document_id", F.col("equipment_id").alias("a"), F.col("n").alias("n_a"))
-    y = rows.select("document_id", F.col("equipment_id").alias("b"), F.col("n").alias("n_b"))
-    return x.join(y, "document_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    """(a, b, shared, n_a, n_b), a < b: documents that two items share, at least ``least``. Items in fewer are left out first."""
+    once = cut(links.dropna(subset=["equipment_id", "document_id"]).select("equipment_id", "document_id").distinct())
+    counts = cut(once.groupBy("equipment_id").agg(F.count("*").alias("c")).where(F.col("c") >= least))
+    pairs = pair_counts(weighted_baskets(supported(once, counts, "equipment_id"), "equipment_id", "document_id"), least)
+    n = small(counts)
+    side = lambda x: n.select(F.col("equipment_id").alias(x), F.col("c").alias(f"n_{x}"))
+    return pairs.withColumnRenamed("n", "shared").join(side("a"), "a").join(side("b"), "b").select("a", "b", "shared", "n_a", "n_b")
 
 
 def other_unit(a: Column, b: Column) -> Column:

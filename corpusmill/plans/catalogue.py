@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import answers, audit, dedupe, entities, evaluation, ledger, retrieval, revisions, segmentation
-from ..runtime import spread, table
+from ..runtime import cut, once, spread, table, together
 from ..sources import files
 from . import oracle
 
@@ -29,7 +29,7 @@ def _chunks(s, d):
 def _usable(s, d):
     """(chunk_id, vector) of vectors of full length, each chunk once."""
     v = spread(table(s, d, "vchunks")).where("size(embedding) = 64 and not exists(embedding, x -> x is null or isnan(x))")
-    return v.select("chunk_id", F.col("embedding").alias("vector")).dropDuplicates(["chunk_id"])
+    return cut(once(v.select("chunk_id", F.col("embedding").alias("vector")), "chunk_id"))
 
 
 def _gold_queries(s, d):
@@ -96,7 +96,7 @@ def superseded_paths(s, d):
 
 
 def bm25_topk(s, d):
-    hits = retrieval.top(retrieval.bm25(_gold_queries(s, d), _chunks(s, d)), 10)
+    hits = retrieval.bm25(_gold_queries(s, d), _chunks(s, d), 10)
     c = table(s, d, "chunks").select("chunk_id", "document_id").dropDuplicates(["chunk_id"])
     return hits.join(c, "chunk_id").select("query_id", "chunk_id", "document_id", "score", "rank")
 
@@ -112,9 +112,10 @@ def knn_eligible(s, d):
 
 
 def _hybrid_inputs(s, d):
-    c = _chunks(s, d).dropDuplicates(["chunk_id"])
-    v = _usable(s, d)
-    q = c.where("chunk_id % 20 = 0 and text is not null").select(F.col("chunk_id").alias("query_id"), F.substring("text", 1, 80).alias("text")).join(v.withColumnRenamed("chunk_id", "query_id"), "query_id")
+    c, v = _chunks(s, d), _usable(s, d)
+    told = _docs(s, d).where("summary is not null").select(F.col("doc_id").alias("document_id"), F.col("summary").alias("text"))  # a query has the whole summary as its text
+    q = c.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "document_id").dropDuplicates(["query_id"]).join(told, "document_id").drop("document_id").join(v.withColumnRenamed("chunk_id", "query_id"), "query_id")
+    q = cut(q)
     ok = retrieval.eligible_chunks(c, _docs(s, d), ["10_power", "20_cooling", "30_water"])
     return q, c, v, ok
 
@@ -126,8 +127,8 @@ def hybrid_search(s, d):
 
 def rrf_fusion(s, d):
     q, c, v, _ = _hybrid_inputs(s, d)
-    arm = retrieval.top(retrieval.distances(q.select("query_id", "vector"), v, 20), 20, "asc", by="distance").withColumn("pos", F.col("rank") - 1)
-    lex = retrieval.top(retrieval.bm25(q.select("query_id", "text"), c), 20).withColumn("pos", F.col("rank") - 1)
+    arm, lex = together(lambda: retrieval.nearest(q.select("query_id", "vector"), v, 20), lambda: retrieval.bm25(q.select("query_id", "text"), c, 20))
+    arm, lex = (x.withColumn("pos", F.col("rank") - 1) for x in (arm, lex))
     return retrieval.fuse(arm, lex).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "vec_pos", "lex_pos")
 
 
@@ -185,7 +186,7 @@ def citation_check(s, d):
 
 def _hit_lists(s, d):
     c = table(s, d, "chunks").dropDuplicates(["chunk_id"]).where("text is not null").join(_docs(s, d).select(F.col("doc_id").alias("document_id"), "source", "domain"), "document_id")
-    return c.where("seq < 6").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("seq", "chunk_id", F.coalesce("source", F.lit("")).alias("source"), "domain", "text"))).alias("hits"))
+    return c.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("seq", "chunk_id", F.coalesce("source", F.lit("")).alias("source"), "domain", "text"))).alias("hits"))
 
 
 def degraded_excerpts(s, d):
@@ -198,7 +199,7 @@ def prompt_context(s, d):
 
 
 def eval_recall_mrr(s, d):
-    hits = retrieval.top(retrieval.bm25(_gold_queries(s, d), _chunks(s, d)), 8)
+    hits = retrieval.bm25(_gold_queries(s, d), _chunks(s, d), 8)
     h = retrieval.hydrated(hits, table(s, d, "chunks"), _docs(s, d)).select(F.col("query_id").alias("gold_id"), "rank", "source")
     return evaluation.retrieval_metrics(evaluation.ranks(h, table(s, d, "gold")))
 

@@ -75,7 +75,7 @@ v AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS vector, label FROM embed
 d AS (SELECT x.chunk_id AS query_id, y.chunk_id, y.label, round(list_distance(x.vector, y.vector), 6) AS distance FROM v x, v y WHERE x.chunk_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM d)"""
 GOLD_QUERIES = "SELECT gold_id AS query_id, q AS text FROM gold WHERE q IS NOT NULL"
-HYBRID_QUERIES = "SELECT c.chunk_id AS query_id, substr(text, 1, 80) AS text FROM c JOIN v USING (chunk_id) WHERE c.chunk_id % 20 = 0 AND text IS NOT NULL"
+HYBRID_QUERIES = "SELECT c.chunk_id AS query_id, dd.summary AS text FROM c JOIN v USING (chunk_id) JOIN documents dd ON dd.doc_id = c.document_id WHERE c.chunk_id % 20 = 0 AND dd.summary IS NOT NULL"
 CANDIDATES = RANKED_ITEMS + ", cand AS (SELECT query_id, chunk_id, rank AS pos FROM r WHERE rank <= 8)"
 
 PARSED = r"""
@@ -228,9 +228,9 @@ SELECT id AS doc_id, component AS cluster, count(*) OVER (PARTITION BY component
         SELECT doc_id, array_to_string(numbers, ',') AS numbers, valid::INT AS valid, (len(numbers) - valid)::INT AS invalid, len(numbers) > 0 AND valid = len(numbers) AS all_valid,
           CASE WHEN len(bad) = 0 THEN answer WHEN len(bad) = 1 THEN replace(answer, '[' || bad[1] || ']', '[invalid citation removed]') ELSE replace(replace(answer, '[' || bad[1] || ']', '[invalid citation removed]'), '[' || bad[2] || ']', '[invalid citation removed]') END AS scrubbed,
           CASE WHEN sources = 0 THEN 'no_relevant' WHEN trim(answer) = '' THEN 'degraded' WHEN valid = 0 THEN 'degraded' WHEN valid < len(numbers) THEN 'partial' ELSE 'grounded' END AS state FROM g""",
-    "degraded_excerpts": f"""WITH {CHUNKS}, h AS (SELECT document_id, coalesce(source, '') AS source, text, row_number() OVER (PARTITION BY document_id ORDER BY seq, chunk_id) AS i FROM c JOIN documents ON doc_id = document_id WHERE c.text IS NOT NULL AND seq < 6)
+    "degraded_excerpts": f"""WITH {CHUNKS}, h AS (SELECT document_id, coalesce(source, '') AS source, text, row_number() OVER (PARTITION BY document_id ORDER BY seq, chunk_id) AS i FROM c JOIN documents ON doc_id = document_id WHERE c.text IS NOT NULL)
         SELECT document_id, string_agg('[' || i || '] ' || source || ' — ' || substr({strip("regexp_replace(text, '[\\s\\x0B]+', ' ', 'g')")}, 1, 320), chr(10) ORDER BY i) AS answer FROM h WHERE i <= 5 GROUP BY 1""".replace("source, text,", "source, c.text AS text,"),
-    "prompt_context": f"""WITH {CHUNKS}, h AS (SELECT document_id, coalesce(source, '') AS source, coalesce(domain, '') AS domain, c.text AS text, row_number() OVER (PARTITION BY document_id ORDER BY seq, chunk_id) AS i FROM c JOIN documents ON doc_id = document_id WHERE c.text IS NOT NULL AND seq < 6),
+    "prompt_context": f"""WITH {CHUNKS}, h AS (SELECT document_id, coalesce(source, '') AS source, coalesce(domain, '') AS domain, c.text AS text, row_number() OVER (PARTITION BY document_id ORDER BY seq, chunk_id) AS i FROM c JOIN documents ON doc_id = document_id WHERE c.text IS NOT NULL),
         p AS (SELECT document_id, string_agg('<source id="' || i || '" name="' || source || '" domain="' || domain || '">' || chr(10) || text || chr(10) || '</source>', chr(10) || chr(10) ORDER BY i) AS p FROM h GROUP BY 1)
         SELECT document_id, md5(p) AS digest, length(p) AS n FROM p""",
     "eval_recall_mrr": f"""WITH {CHUNKS}, {bm25(GOLD_QUERIES)}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm),

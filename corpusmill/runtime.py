@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -146,6 +148,18 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     return F.broadcast(df) if n <= rows and b <= size else df
 
 
+def together(*made: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Tables that are made independently of each other, at the same time: their jobs share the cores."""
+    with ThreadPoolExecutor(len(made)) as pool:
+        return [f.result() for f in [pool.submit(m) for m in made]]
+
+
+def once(df: DataFrame, key: str) -> DataFrame:
+    """Each key once. Only the rows of keys that come again are shuffled, by a first look at the keys alone."""
+    again = small(cut(df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)))
+    return df.join(again, key, "left_anti").unionByName(df.join(again, key, "left_semi").dropDuplicates([key]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

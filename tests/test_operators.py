@@ -1,7 +1,8 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.operators import answers, audit, components, dedupe, entities, evaluation, ledger, retrieval, revisions, segmentation
+from corpusmill.operators import answers, audit, baskets, components, dedupe, entities, evaluation, ledger, retrieval, revisions, segmentation
 
 
 def values(df, *cols):
@@ -25,7 +26,7 @@ def test_chunks_pack_paragraphs_and_window_long_ones(spark):
 def test_bm25_counts_phrases_and_repeated_terms(spark):
     chunks = spark.createDataFrame([(1, "FP-101 pump"), (2, "the pump 101 fp"), (3, None), (4, "valve"), (5, "other words")], "chunk_id long, text string")
     q = spark.createDataFrame([(1, "FP-101"), (2, "valve"), (3, "valve valve"), (4, "?!")], "query_id long, text string")
-    got = {(r.query_id, r.chunk_id): r.score for r in retrieval.bm25(q, chunks).collect()}
+    got = {(r.query_id, r.chunk_id): r.score for r in retrieval.bm25(q, chunks, 10).collect()}
     assert set(got) == {(1, 1), (2, 4), (3, 4)}
     assert abs(got[3, 4] - 2 * got[2, 4]) < 1e-5
 
@@ -134,8 +135,10 @@ def test_empty_tables(spark):
     q = spark.createDataFrame([], "query_id long, text string, vector array<float>")
     assert dedupe.clusters(docs).count() == 0
     assert revisions.families(docs, docs).count() == 0
-    assert retrieval.bm25(q, chunks).count() == 0
-    assert retrieval.distances(q, spark.createDataFrame([], "chunk_id long, vector array<float>")).count() == 0
+    assert retrieval.bm25(q, chunks, 5).count() == 0
+    vectors = spark.createDataFrame([], "chunk_id long, vector array<float>")
+    assert retrieval.distances(q, vectors, 5).count() == 0
+    assert retrieval.eligible_arm(q, vectors, vectors.select("chunk_id"), 2).count() == 0
     assert segmentation.reassembled(chunks).count() == 0
 
 
@@ -153,3 +156,41 @@ def test_requeue_takes_the_last_record(spark):
     q = spark.createDataFrame([("a", "requested", 1), ("b", "requested", 1), ("b", "cancelled", 2), ("c", "requested", 1)], "src string, action string, ts int")
     log = spark.createDataFrame([("c", "processed", 5)], "src string, action string, ts int")
     assert values(ledger.requeued(q, ["ts"], log), "src") == [("a",)]
+
+
+def test_vector_arm_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 50)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(700, 6)) * 2) / 2  # many ties
+    x[100:140] = x[0]
+    bad = [(9000, None), (9001, [1.0] * 5), (9002, [float("nan")] * 6)]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + bad, "chunk_id long, vector array<double>").repartition(5)
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 700, 20)] + [(9000, None)], "query_id long, vector array<double>")
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 6)
+    order = {i: sorted(range(700), key=lambda j: (d[i, j], j)) for i in range(0, 700, 20)}
+    got = {(r.query_id, r.rank): r.chunk_id for r in retrieval.nearest(q, v, 9).collect()}
+    assert got == {(i, n + 1): order[i][n] for i in order for n in range(9)}
+    for share in (2, 97, 400):  # the rarer, the further the fetch reaches
+        ok = set(range(0, 700, share))
+        want = set()
+        for i, o in order.items():
+            places = [n + 1 for n, j in enumerate(o) if j in ok]
+            reach = 20
+            while len(places) >= 20 and reach < places[19]:
+                reach *= 2
+            reach = 700 if len(places) < 20 else min(700, reach)
+            want |= {(i, o[n - 1], e) for e, n in enumerate(places) if n <= reach}
+        arm = retrieval.eligible_arm(q, v.where("chunk_id < 9000"), spark.createDataFrame([(j,) for j in ok], "chunk_id long"), 2)
+        assert {(r.query_id, r.chunk_id, r.pos) for r in arm.collect()} == want
+
+
+def test_buckets_and_baskets_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(dedupe, "BUCKET", 3)
+    monkeypatch.setattr(baskets, "BLOCK", 4)
+    keys = spark.createDataFrame([(i, 7) for i in range(20)] + [(i, 8) for i in range(18, 24)], "rep long, key long")
+    met = {tuple(r) for r in dedupe.met_in_blocks(keys).collect()}
+    assert met == {(i, j) for i in range(20) for j in range(i + 1, 20)} | {(i, j) for i in range(18, 24) for j in range(i + 1, 24)}
+    links = spark.createDataFrame([(e, d) for d, n in ((1, 13), (2, 13), (3, 9), (4, 2), (5, 1)) for e in range(n)] + [(None, 1), (0, 4)], "equipment_id long, document_id long")
+    n = lambda e: sum(e < x for x in (13, 13, 9, 2, 1))
+    assert {tuple(r) for r in entities.shared(links, 2).collect()} == {(a, b, n(b), n(a), n(b)) for a in range(13) for b in range(a + 1, 13) if n(b) >= 2}
