@@ -1,7 +1,7 @@
 """Problem 4: items that appear together.
 
 Identical baskets are collapsed into one with a weight, so that the pairs of each distinct basket are enumerated once;
-weights are summed per pair (partially before the shuffle). The pairs of large baskets are spread over all tasks.
+weights are summed per pair (partially before the shuffle). Large baskets are enumerated block by block.
 
 Defined results: links with a null end are left out, repeated links count once, baskets of one item give no pair but
 count in N and in the items' numbers; an empty table gives no rows.
@@ -12,10 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut, parts, small
-
-#: Baskets with more items are enumerated in several tasks. It changes no result.
-LARGE = 256
+from ..operators.baskets import pair_counts, supported, weighted_baskets
+from ..runtime import cut, small
 
 
 def pairs(links: DataFrame, item: str = "equipment_id", basket: str = "document_id", least: int = 1, share: float = 0.0) -> DataFrame:
@@ -26,19 +24,9 @@ def pairs(links: DataFrame, item: str = "equipment_id", basket: str = "document_
     once = cut(links.select(F.col(item).alias("item"), F.col(basket).alias("basket")).dropna().distinct())
     n = once.select(F.countDistinct("basket")).first()[0]
     support = max(least, -int(-share * n * (1 - 1e-12) // 1))
-    counts = small(once.groupBy("item").agg(F.count("*").alias("c")).where(F.col("c") >= support))
-    kept = once.join(counts, "item")
-    # a basket is no longer than the number of different items of enough support
-    baskets = kept.groupBy("basket").agg(F.array_sort(F.collect_set("item")).alias("items")).where(F.size("items") > 1)
-    weighted = cut(baskets.groupBy("items").agg(F.count("*").alias("w")))
-    spread = weighted.where(F.size("items") > LARGE).select("w", "items", F.posexplode("items").alias("i", "a")).repartition(parts(links.sparkSession))
-    firsts = weighted.where(F.size("items") <= LARGE).select("w", "items", F.posexplode("items").alias("i", "a")).unionByName(spread)
-    found = (
-        firsts.select("w", "a", F.explode(F.slice("items", F.col("i") + 2, F.size("items"))).alias("b"))
-        .groupBy("a", "b")
-        .agg(F.sum("w").alias("n_ab"))
-        .where(F.col("n_ab") >= support)
-    )
+    counts = cut(once.groupBy("item").agg(F.count("*").alias("c")).where(F.col("c") >= support))
+    found = pair_counts(weighted_baskets(supported(once, counts, "item"), "item", "basket"), support).withColumnRenamed("n", "n_ab")
+    counts = small(counts)
     side = lambda x: counts.select(F.col("item").alias(x), F.col("c").alias(f"n_{x}"))
     return found.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_ab", "n_a", "n_b", F.lit(n).cast("long").alias("n"))
 
