@@ -2,7 +2,8 @@
 
 A text is parted by a hierarchy of separators: section, paragraph, sentence, word, character; only what is still too long
 is parted by the next one. The parts are packed greedily; every piece after the first begins exactly ``overlap``
-characters before the end of the piece before it, so the text can be put together again from the pieces.
+characters before the end of the piece before it, so the text can be put together again from the pieces. A part is parted
+further only where it doesn't fit into a piece of its own, of which the overlap takes a share.
 
 Defined results: null ids, null texts and texts of at most ``limit`` characters give no pieces; a row delivered twice counts once;
 lengths are Unicode code points.
@@ -46,11 +47,15 @@ def spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be less than limit")
     out, start, end = [], 0, 0
-    for cut in atoms(text, 0, len(text), limit - overlap):
-        if cut - start > limit and end > start:
+    for whole in atoms(text, 0, len(text), limit):
+        if whole - start > limit and end > start:
             out.append((start, end))
             start = max(0, end - overlap)
-        end = cut
+        for cut in [whole] if whole - start <= limit else atoms(text, end, whole, limit - overlap):
+            if cut - start > limit:
+                out.append((start, end))
+                start = max(0, end - overlap)
+            end = cut
     if end > start:
         out.append((start, end))
     return out
