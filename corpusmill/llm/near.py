@@ -1,16 +1,17 @@
 """Problem 7: near-duplicate records with small edits.
 
-The signature of a text is SLOTS MinHash values of its runs of three words; the distance of two signatures is the number
-of slots in which they differ (Hamming distance). The slots are split into CHUNKS chunks. Two signatures that differ in at
-most CHUNKS * (ERRORS + 1) - 1 slots have, by the pigeonhole principle, a chunk in which at most ERRORS slots differ; so
-every chunk is entered into the index once for each choice of ERRORS slots to be left out, and each pair within that
-distance meets under a common key. Pairs that meet are compared by a wider sketch and then by their exact similarity.
-
-Texts with the same words are one representative until the end; keys under which very many texts meet are compared block
-by block in separate tasks, so nothing is dropped or capped.
-
-Defined results: null ids, null texts and texts of fewer than MIN_WORDS words are similar to nothing; a row delivered twice counts
-once; copies in the sense of problem 2 are no pairs.
+The signature of a text is a b-bit MinHash of its runs of three words: the lowest BITS bits of each of SLOTS minima. The
+distance of two signatures is the number of slots in which they differ (Hamming distance). The slots are split into CHUNKS
+chunks. Two signatures that differ in at most CHUNKS * (ERRORS + 1) - 1 slots have, by the pigeonhole principle, a chunk in
+which at most ERRORS slots differ; so every chunk is entered into the index once for each choice of ERRORS slots to be left
+out, and each pair within that distance meets under a common key. All pairs that meet are compared by their exact
+similarity; nothing is left out between but what a bound proves to be below the threshold.
+
+Texts with the same words are one representative until the end. The index is range-partitioned by key and id, so that a key
+under which very many texts meet is spread over partitions; its texts are then compared block by block in tasks of their own.
+
+Defined results: null ids, null texts and texts of fewer than MIN_WORDS words are similar to nothing; a row delivered twice
+counts once; copies in the sense of problem 2 are no pairs.
 """
 
 from __future__ import annotations
@@ -25,21 +26,27 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.components import connected_components
-from ..runtime import cut, parts, small
+from ..runtime import cut, dispose, parts, small
 from .copies import FIELD_BREAKS, field_key
-from .ragged import flat, minima, mix, runs
+from .graph import one_thread
+from .ragged import flat, minima, mix, rows_of, runs
 
 SHINGLE, MIN_WORDS = 3, 30
-SLOTS, CHUNKS, ERRORS = 24, 6, 1
-#: Bits of the sketch, one per further MinHash; pairs of similarity s differ in about (1 - s) / 2 of them.
-SKETCH = 128
+SLOTS, CHUNKS, ERRORS, BITS = 24, 6, 1, 16
 #: Runs of one key longer than this are compared in blocks of this size, each pair of blocks by a task of its own.
-BLOCK = 1024
+BLOCK = 512
+#: Bits of the map of a text's shingles, by which pairs of a block are bounded.
+MAP = 512
+
+
+def signature(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The b-bit MinHash of each row: rows by SLOTS."""
+    return minima(hashes, offsets, SLOTS) & np.uint32(2**BITS - 1)
 
 
-def keys(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """All index keys of each row: rows by CHUNKS * C(SLOTS / CHUNKS, ERRORS)."""
-    m = minima(values, offsets, SLOTS).astype(np.uint64)
+def keys(sig: np.ndarray) -> np.ndarray:
+    """All index keys of each signature: rows by CHUNKS * C(SLOTS / CHUNKS, ERRORS)."""
+    m = sig.astype(np.uint64)
     size = SLOTS // CHUNKS
     out = []
     for c in range(CHUNKS):
@@ -51,136 +58,121 @@ def keys(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack(out, 1) if len(m) else np.zeros((0, len(out)), np.uint64)
 
 
-def sketch(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """SKETCH bits of each row as uint64 words."""
-    bits = (minima(values, offsets, SKETCH, seed=2) & 1).astype(np.uint8)
-    return np.packbits(bits, axis=1).view(np.uint64)
-
-
-def far(threshold: float) -> int:
-    """Sketch bits in which a pair of just that similarity differs but once in 30,000 cases or so (four deviations)."""
-    p = (1 - threshold) / 2
-    return int(SKETCH * p + 4 * (SKETCH * p * (1 - p)) ** 0.5)
-
-
-def _pairs(ids: np.ndarray, sk: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    d = np.zeros(len(a), np.int64)
-    for w in range(sk.shape[1]):
-        d += np.bitwise_count(sk[a, w] ^ sk[b, w])
-    ok = (d <= most) & (ids[a] != ids[b])
-    a, b = ids[a[ok]], ids[b[ok]]
-    return np.minimum(a, b), np.maximum(a, b)
-
-
-_COLUMNS = [f"s{i}" for i in range(SKETCH // 64)]
-
-
-def _sketches(b: pa.RecordBatch) -> np.ndarray:
-    return np.stack([b.column(b.schema.get_field_index(c)).to_numpy().view(np.uint64) for c in _COLUMNS], 1)
-
-
-def _join(most: int):
-    """Scan of rows sorted by key: pairs that meet (key null), and the rows of long runs (b null)."""
-    names = ["a", "b", "key", *_COLUMNS]
+def index(rows: DataFrame) -> DataFrame:
+    """(key, id): every key of each row's signature; rows has id and w (word hashes)."""
 
-    def emit(a, b):
-        n = len(a)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.nulls(n, pa.int64())] * (1 + len(_COLUMNS))], names=names)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        hot = None
-
-        def work(t: pa.RecordBatch, hot):
-            key, ids = t.column(0).to_numpy(), t.column(1).to_numpy()
-            sk = _sketches(t)
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            lengths = np.diff(np.r_[starts, len(key)])
-            long = (lengths > BLOCK) | (key[starts] == hot if hot is not None else False)
-            if long.any():
-                rows = np.flatnonzero(np.repeat(long, lengths))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.nulls(len(rows), pa.int64()), pa.array(key[rows]), *[pa.array(sk[rows, w].view(np.int64)) for w in range(sk.shape[1])]], names=names)
-            run, first = np.repeat(lengths, lengths), np.repeat(starts, lengths)
-            place = np.arange(len(key)) - first
-            live = ~np.repeat(long, lengths)
-            for d in range(1, int(lengths[~long].max(initial=1))):  # row and its d-th neighbour
-                a = np.flatnonzero(live & (place + d < run))
-                x, y = _pairs(ids, sk, a, a + d, most)
-                if len(x):
-                    yield emit(x, y)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for s in range(0, whole.num_rows, 2000):
+                b = whole.slice(s, 2000)
+                k = keys(signature(*runs(*flat(b.column(1)), SHINGLE)))
+                yield pa.RecordBatch.from_arrays([pa.array(k.ravel().view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), k.shape[1]))], names=["key", "id"])
+
+    return rows.select("id", "w").mapInArrow(work, "key long, id long")
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scan of rows sorted by key: pairs that meet (key null), and the rows of long runs and of a partition's first and last run (b null)."""
+    names = ["a", "b", "key"]
+
+    def work(key: np.ndarray, ids: np.ndarray, begins: bool, ends: bool):
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        lengths = np.diff(np.r_[starts, len(key)])
+        apart = lengths > BLOCK
+        apart[0] |= begins
+        apart[-1] |= ends
+        run, place, live = np.repeat(lengths, lengths), np.arange(len(key)) - np.repeat(starts, lengths), ~np.repeat(apart, lengths)
+        if not live.all():
+            yield pa.RecordBatch.from_arrays([pa.array(ids[~live]), pa.nulls(int((~live).sum()), pa.int64()), pa.array(key[~live])], names=names)
+        for d in range(1, int(lengths[~apart].max(initial=1))):  # row and its d-th neighbour
+            a = np.flatnonzero(live & (place + d < run))
+            x, y = ids[a], ids[a + d]
+            x, y = np.minimum(x, y)[x != y], np.maximum(x, y)[x != y]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.nulls(len(x), pa.int64())], names=names)
+
+    rest_k, rest_i, begins = np.zeros(0, np.int64), np.zeros(0, np.int64), True
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, ids = np.r_[rest_k, b.column(0).to_numpy()], np.r_[rest_i, b.column(1).to_numpy()]
+        last = int(np.searchsorted(key, key[-1]))
+        if not last or len(key) - last > BLOCK:  # a long run may go on: what is here of it is given out at once
+            yield from work(key, ids, begins, True)
+            rest_k, rest_i, begins = key[:0], ids[:0], True
+        else:
+            yield from work(key[:last], ids[:last], begins, False)
+            rest_k, rest_i, begins = key[last:], ids[last:], False
+    if len(rest_k):
+        yield from work(rest_k, rest_i, begins, True)
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = b if rest is None else pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
-            key = t.column(0).to_numpy()
-            last = int(np.searchsorted(key, key[-1]))
-            if t.num_rows - last > BLOCK:  # a long run may go on: what is here of it is given out at once
-                yield from work(t, hot)
-                hot, rest = key[-1], None
-            else:
-                if last:
-                    yield from work(t.slice(0, last), hot)
-                rest = t.slice(last)
-        if rest is not None and rest.num_rows:
-            yield from work(rest, hot)
 
-    return scan
+def candidates(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: pairs of ids whose signatures meet under a key; rows has id and w (word hashes)."""
+    keyed = cut(index(rows))  # the range partitioner looks at the keys once more; they aren't made again
+    n = parts(rows.sparkSession)
+    met = cut(keyed.repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id").mapInArrow(_scan, "a long, b long, key long"))
+    dispose(keyed)
+    pairs = met.where("b is not null").select("a", "b").distinct()
+    apart = met.where("b is null").select(F.col("a").alias("id"), "key").distinct()
+    return pairs if apart.isEmpty() else pairs.union(_blocks(apart, rows, threshold)).distinct()
 
 
-def candidates(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: pairs of ids whose signatures meet and whose sketches are near; rows has id and w (word hashes)."""
-    most = far(threshold)
-    names = ["key", "id", *_COLUMNS]
+def _maps(rows: DataFrame) -> DataFrame:
+    """(id, n, map): the number of different shingles of each row, and a map of MAP bits in which each has set one."""
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for s in range(0, whole.num_rows, 2000):
-                b = whole.slice(s, 2000)
+            for s in range(0, whole.num_rows, 500):
+                b = whole.slice(s, 500)
                 h, off = runs(*flat(b.column(1)), SHINGLE)
-                k, sk = keys(h, off), sketch(h, off)
-                n = k.shape[1]
-                ids = np.repeat(b.column(0).to_numpy(), n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(k.ravel().view(np.int64)), pa.array(ids), *[pa.array(np.repeat(sk[:, w].view(np.int64), n)) for w in range(sk.shape[1])]], names=names
-                )
-
-    sk_type = ", ".join(f"{c} long" for c in _COLUMNS)
-    n = parts(rows.sparkSession)
-    met = cut(
-        rows.select("id", "w")
-        .mapInArrow(index, f"key long, id long, {sk_type}")
-        .repartition(n, "key")
-        .sortWithinPartitions("key")
-        .mapInArrow(_join(most), f"a long, b long, key long, {sk_type}")
-        .dropDuplicates(["a", "b", "key"])
-    )
-    pairs = met.where("b is not null").select("a", "b")
-    hot = met.where("b is null")
-    return pairs.union(_hot(hot, most)).distinct() if not hot.isEmpty() else pairs
-
-
-def _hot(rows: DataFrame, most: int) -> DataFrame:
-    """Pairs within long runs: each run is dealt into blocks, and each two blocks of a run are compared in a group of their own."""
-    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    dealt = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("a"), "n").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    placed = dealt.withColumn("other", other).select("key", "a", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), *_COLUMNS)
+                row = rows_of(off)
+                order = np.lexsort((h, row))
+                row, h = row[order], h[order]
+                once = np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])] if len(h) else np.zeros(0, bool)
+                row, h = row[once], h[once]
+                bits = np.zeros((b.num_rows, MAP), np.uint8)
+                bits[row, (h % np.uint64(MAP)).astype(np.int64)] = 1
+                packed = np.packbits(bits, axis=1)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.bincount(row, minlength=b.num_rows)), pa.array([x.tobytes() for x in packed], pa.binary())], names=["id", "n", "map"])
+
+    return rows.select("id", "w").mapInArrow(work, "id long, n long, map binary")
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of rows of two bit matrices can reach the threshold: a shingle of one whose bit the other lacks is in one only,
+    so of d such bits at most n - d shingles are common and at least n + d of the other's are in either."""
+    both = a @ b.T
+    only_a, only_b = a.sum(1)[:, None] - both, b.sum(1)[None] - both
+    na, nb = na[:, None], nb[None]
+    return ((na - only_a) >= threshold * (nb + only_a) - 1e-6) & ((nb - only_b) >= threshold * (na + only_b) - 1e-6)
+
+
+def _blocks(apart: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs within the runs (id, key) kept apart: each run is dealt into blocks, and each two blocks of a run are compared in a group of their own."""
+    apart = cut(apart)
+    maps = cut(_maps(rows.join(small(apart.select("id").distinct()), "id", "left_semi").dropDuplicates(["id"])))
+    blocks = small(apart.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks")))
+    dealt = apart.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), "n_blocks").cast("int")).join(small(maps), "id")
+    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
+    placed = dealt.withColumn("other", other).select("key", "id", "n", "map", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
 
     def compare(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        b = t.to_batches()[0]
-        ids, block = b.column(1).to_numpy(), b.column(2).to_numpy()
-        x, y = b.column(3)[0].as_py(), b.column(4)[0].as_py()
-        sk = _sketches(b)
-        out = []
+        one_thread()
+        ids, n, block = (t.column(c).to_numpy() for c in ("id", "n", "block"))
+        x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
+        maps = np.frombuffer(b"".join(t.column("map").to_pylist()), np.uint8).reshape(len(ids), -1)
         left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
-        for i in left:
-            js = right if x != y else right[ids[right] > ids[i]]
-            out.append(_pairs(ids, sk, np.full(len(js), i), js, most))
-        a = np.concatenate([p[0] for p in out]) if out else np.zeros(0, np.int64)
-        c = np.concatenate([p[1] for p in out]) if out else np.zeros(0, np.int64)
-        return pa.table({"a": a, "b": c})
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        right_bits = np.unpackbits(maps[right], axis=1).astype(np.float32)
+        for at in range(0, len(left), 256):
+            i = left[at : at + 256]
+            bits = np.unpackbits(maps[i], axis=1).astype(np.float32)
+            r, c = np.nonzero(may_be_similar(bits, right_bits, n[i], n[right], threshold))
+            p, q = ids[i[r]], ids[right[c]]
+            found.append((np.minimum(p, q)[p != q], np.maximum(p, q)[p != q]))
+        a, b = (np.concatenate(c) for c in zip(*found))
+        return pa.table({"a": a, "b": b})
 
     return placed.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long")
 
@@ -193,10 +185,11 @@ def shingle_set(w: Column) -> Column:
 def verified(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of the pairs of at least the threshold; rows has id and w, of which the needed ones are fetched."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = cut(rows.join(small(needed), "id", "left_semi").select("id", shingle_set(F.col("w")).alias("s")))
+    sets = cut(rows.join(small(cut(needed)), "id", "left_semi").select("id", shingle_set(F.col("w")).alias("s")))
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    fits = F.least(F.size("sa"), F.size("sb")) >= F.greatest(F.size("sa"), F.size("sb")) * threshold - 1e-9  # else they can't be similar enough
     both = F.size(F.array_intersect("sa", "sb"))
-    return joined.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), both.alias("ab")).where(
+    return joined.where(fits).select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), both.alias("ab")).where(
         F.col("ab") >= (F.col("na") + F.col("nb") - F.col("ab")) * threshold - 1e-9
     ).select("a", "b", (F.col("ab") / (F.col("na") + F.col("nb") - F.col("ab"))).alias("similarity"))
 
