@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +27,10 @@ from ..runtime import cut, small
 COMMON = 3
 #: Words of one shard of the vocabulary's trie.
 TRIE_WORDS = 200_000
+#: Unknown tokens looked up by one task; more, where the vocabulary is larger and takes longer to be put into a trie.
+BLOCK_TOKENS = 250
+#: Parts of the blocks that a trie goes to where the tries are too large to be sent everywhere.
+SALTS = 16
 HYPHENS = "-‐‑¬\xad"
 BREAKS = re.compile("[\n\r\x0b\x0c\x85\u2028\u2029]+")
 
@@ -297,24 +302,40 @@ def _read_all(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", "text", "titles").mapInArrow(work, "chunk_id long, kind string, item string, a string, b string")
 
 
+@lru_cache(maxsize=4)
+def _trie(words: tuple[str, ...]) -> Trie:
+    return Trie(words)
+
+
 def corrections(unknown: DataFrame, words: DataFrame) -> DataFrame:
     """(token, word, misreadings, n): every word of the vocabulary that an unknown token may stand for.
 
-    The vocabulary is dealt into tries of bounded size; every token meets every trie.
+    The vocabulary is dealt into tries of at most about TRIE_WORDS words, the tokens into blocks; every block meets every trie.
     """
-    n = max(1, -(-words.count() // TRIE_WORDS))
-    shards = words.where(F.length("key") > 1).select("key", "n", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int").alias("trie"))
-    blocks = unknown.select("token", F.pmod(F.xxhash64("token"), F.lit(24)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("trie"))
-    spread = shards.select("key", "n", "trie", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("block"))
-
-    def work(tokens_: pa.Table, words_: pa.Table) -> pa.Table:
-        counts = dict(zip(words_.column("key").to_pylist(), words_.column("n").to_pylist()))
-        trie = Trie(counts)
-        rows = [(t, w, k, counts[w]) for t in tokens_.column("token").to_pylist() for w, k in candidates(t, trie)]
-        cols = list(zip(*rows)) or [[]] * 4
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["token", "word", "misreadings", "n"])
-
-    return blocks.groupBy("trie", "block").cogroup(spread.groupBy("trie", "block")).applyInArrow(work, "token string, word string, misreadings int, n long")
+    size = words.count()
+    n, tasks = max(1, -(-size // TRIE_WORDS)), max(1, -(-unknown.count() // max(BLOCK_TOKENS, size // 100)))
+    letters = words.where(F.length("key") > 1).withColumn("trie", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int"))
+    tries = cut(letters.groupBy("trie").agg(F.array_sort(F.collect_list(F.struct("key", "n"))).alias("words")))
+    blocks = unknown.groupBy(F.pmod(F.xxhash64("token"), F.lit(tasks)).cast("int").alias("block")).agg(F.collect_list("token").alias("tokens"))
+    # by size alone AQE would put all blocks, small but long in work, into one task
+    dealt = blocks.withColumn("trie", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition(min(20_000, n * tasks), "block", "trie")
+    hinted = small(tries)
+    if hinted is not tries:
+        met = dealt.join(hinted, "trie")
+    else:  # too large to be sent everywhere: each trie goes to SALTS places
+        met = dealt.withColumn("salt", F.pmod("block", F.lit(SALTS))).join(tries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["trie", "salt"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                held = b.column(1)[k].values
+                keys = tuple(held.field("key").to_pylist())
+                counts = dict(zip(keys, held.field("n").to_pylist()))
+                rows = [(t, w, m, counts[w]) for t in b.column(0)[k].as_py() for w, m in candidates(t, _trie(keys))]
+                cols = list(zip(*rows)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["token", "word", "misreadings", "n"])
+
+    return met.select("tokens", "words").mapInArrow(work, "token string, word string, misreadings int, n long")
 
 
 def noise(chunks: DataFrame, documents: DataFrame) -> DataFrame:
