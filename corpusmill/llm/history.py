@@ -26,7 +26,6 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,7 +98,7 @@ def recorded(rows: DataFrame) -> DataFrame:
             for s in range(0, whole.num_rows, 1000):
                 b = whole.slice(s, 1000)
                 v = pack(projections(*flat(b.column(4))))
-                v = pa.compute.if_else(b.column(3).is_valid(), v, pa.scalar(None, pa.binary()))
+                v = v.take(pa.array(np.arange(len(v)), mask=b.column(3).is_null().to_numpy(zero_copy_only=False)))
                 yield pa.RecordBatch.from_arrays([*b.columns[:4], v], names=["id", "batch", "sha", "w", "v"])
 
     w = rows.select("id", "batch", "sha", T.word_hashes(F.col("text")).alias("words")).select("id", "batch", "sha", F.when(F.size("words") >= MIN_WORDS, F.col("words")).alias("words"))
