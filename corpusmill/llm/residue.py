@@ -127,11 +127,11 @@ EVIDENCE: dict[str, list[tuple[list[str], str]]] = {
             ["bad request", "unauthori", "required", "forbidden", "not found", "not allowed", "not acceptable", "timeout", "time-out", "conflict", "gone", "failed", "too large", "too long", "unsupported media", "not satisfiable", "misdirected", "unprocessable", "locked", "failed dependency", "too early", "too many requests", "unavailable", "internal server error", "not implemented", "bad gateway", "not supported", "insufficient storage", "loop detected"],
             f"{_START}(?:http(?:/\\d(?:\\.\\d)?)? )?(?:error |status |code )?[45]\\d\\d(?: error)?(?:[:,]| [-–—|])? (?:{REASONS})\\b",
         ),
-        (["http error 4", "http error 5", "http status 4", "http status 5", "http/1", "http/2"], f"{_START}http(?:/\\d(?:\\.\\d)?)?(?: (?:error|status))?[ :]+[45]\\d\\d\\b"),
+        (["http"], f"{_START}http(?:/\\d(?:\\.\\d)?)?(?: (?:error|status))?[ :]+[45]\\d\\d\\b"),
         (["nothing is stored under /"], "nothing is stored under /"),
         (["error 4", "error 5"], "\\berror [45]\\d\\d:"),
         (["service ", "server ", "site ", "host "], "(?:service|server|site|host) (?:did not|does not|didn't|is not) (?:answer|respond|responding|reply)"),
-        (["page not found", "page missing", "page was ", "page is ", "page could ", "page can ", "page you "], "page (?:you \\w+ \\w+ \\w+ )?(?:was |is |could |can )?(?:not (?:be )?found|missing)(?: or has \\w+)?\\. (?:the|check|go|return|back|it|path|nothing)"),
+        (["page not ", "page missing", "page was ", "page is ", "page could ", "page can ", "page you "], "page (?:you \\w+ \\w+ \\w+ )?(?:was |is |could |can )?(?:not (?:be )?found|missing)(?: or has \\w+)?\\. (?:the|check|go|return|back|it|path|nothing)"),
         (["you were looking for", "you requested", "you asked for", "you want"], f"{_THING} you (?:were looking for|requested|asked for|want(?:ed)?)[^.]{{0,20}} (?:has|have|is|was|does|could|no longer|cannot)"),
         (["introuvable", "n'existe plus"], "page introuvable\\.? le |le chemin \\S+ n'existe plus"),
         (["nicht gefunden", "vorhanden"], "seite nicht gefunden\\.? der |der pfad \\S+ ist nicht (?:mehr )?vorhanden"),
@@ -166,7 +166,7 @@ EVIDENCE: dict[str, list[tuple[list[str], str]]] = {
         (["processing your request"], "(?:error|problem|exception) (?:has )?(?:occurred )?(?:while |when |in )?processing your request"),
         (["err_", "dns_probe_"], "\\b(?:err_(?:connection|name|empty|internet|ssl|cert|address|timed|too_many|network|failed|invalid|http2?|blocked|proxy|tunnel|response|content|access|file|unknown|cache|unsafe|aborted|socket|dns)[a-z_]*|dns_probe_\\w+)\\b"),
         (["send any data", "refused to connect", "too long to respond", "unable to handle this request", "be reached"], "(?:didn['’]t|did not) send any data|\\S+\\.\\S+ refused to connect|took too long to respond|is currently unable to handle this request|this (?:site|page|webpage|website) (?:can['’]t|cannot|could not) be reached"),
-        (["isn't working", "isn’t working", "is not working", "be displayed", "not available", "isn't available", "isn’t available", "no longer available"], f"{_START}(?:sorry, )?(?:this|the requested) (?:site|page|webpage|website|content|document|video|resource) (?:isn['’]t|is not|is no longer|can['’]t be|cannot be) (?:working|displayed|available)(?:[.!]|$| (?:in your|to you|right now|at this time|at the moment|because|check|try|please))"),
+        (["working", "displayed", "available"], f"{_START}(?:sorry, )?(?:this|the requested) (?:site|page|webpage|website|content|document|video|resource) (?:isn['’]t|is not|is no longer|can['’]t be|cannot be) (?:working|displayed|available)(?:[.!]|$| (?:in your|to you|right now|at this time|at the moment|because|check|try|please))"),
         (["reference source not", "bookmark not", "hyperlink reference not"], "error! (?:reference source|bookmark|hyperlink reference) not (?:found|defined|valid)"),
         (["welcome to nginx", "apache server at", "this domain "], "welcome to nginx!|apache server at \\S+ port \\d|this domain (?:is parked|is for sale|has expired|may be for sale)"),
         (["status code", "fatal error", "stack trace", "unhandled"], "request failed with status code [45]\\d\\d|fatal error: uncaught|unhandled (?:exception|rejection)[:.]"),
