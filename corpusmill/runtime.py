@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -86,6 +87,23 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     context.rename(context.makeQualified(part), context.makeQualified(at), options)
 
 
+def create_bytes(spark: SparkSession, path: str, data: bytes) -> bool:
+    """A small file that is new; False, and nothing done, if there is one of that name. It is decided in one step who makes it."""
+    fs, at = _path(spark, path)
+    try:
+        stream = fs.create(at, False)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    try:
+        stream.write(bytearray(data))
+        stream.hflush()
+    finally:
+        stream.close()
+    return True
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, at = _path(spark, path)
     fs.delete(at, True)
