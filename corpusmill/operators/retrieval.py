@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..runtime import cut, once, parts, small, together
+from .revisions import revision, stem
 
 K1, B, IDF_FLOOR, RRF_K = 1.2, 0.75, 1e-6, 60
 #: Queries and vectors of one block.
@@ -397,15 +398,29 @@ def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 8
 
 
 def hydrated(hits: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Hits with the text of their chunk and the names of their document; only the hits' rows are fetched."""
+    """Hits with the text of their chunk, the names of their document and its revision; only the hits' rows are fetched.
+
+    The family of a revision is its folder and the stem of its name; what the index holds is the current state.
+    """
     c = chunks.select("chunk_id", "document_id", "text").dropDuplicates(["chunk_id"])
     d = documents.select(F.col("doc_id").alias("document_id"), "source", "rel_path", "domain", "sha256")
-    return hits.join(c, "chunk_id").join(d, "document_id").withColumn("parent_path", F.regexp_extract("rel_path", "^(.*)/[^/]*$", 1))
+    base, parent = F.regexp_extract("rel_path", "([^/]*)$", 1), F.regexp_extract("rel_path", "^(.*)/[^/]*$", 1)
+    out = hits.join(c, "chunk_id").join(d, "document_id").withColumn("parent_path", parent).withColumn("rev", revision(base))
+    family = F.when(F.col("rev").isNotNull(), F.concat(parent, F.lit("/"), stem(base)))
+    return out.withColumn("revision_label", F.col("rev.label")).withColumn("revision_family", family).withColumn("revision_state", F.lit("current")).drop("rev")
 
 
 # ---- reranking -----------------------------------------------------------------------------------------------------
 
 
+def listed_passages(candidates: DataFrame, pool: int = 15, chars: int = 300) -> DataFrame:
+    """(query_id, n, passages): what a list-wise reranker is shown of each query's first ``pool`` candidates (query_id, pos from 1, source, text):
+    numbered lines with the source and the first characters of the text."""
+    line = F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("] ("), F.coalesce("source", F.lit("")), F.lit(") "), F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, chars), "\\n", " "))
+    shown = candidates.where(F.col("pos") <= pool).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("l"))
+    return shown.select("query_id", F.size("l").alias("n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("passages"))
+
+
 def permuted(candidates: DataFrame, replies: DataFrame) -> DataFrame:
     """(query_id, chunk_id, rank) after a list-wise reply such as ``[3, 1, 2]``.
 

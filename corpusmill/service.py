@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hmac
 import json
+import re
 import sys
 from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -12,7 +13,7 @@ from urllib.parse import parse_qs, urlparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .models import embed_text
+from .models import embed_text, post_json
 from .operators import answers, audit, retrieval, segmentation
 from .sources.files import Snapshots
 
@@ -38,15 +39,76 @@ def bounded(query, k=8, mode="hybrid", domains=None) -> tuple[str, int, str, lis
     return query, min(MAX_K, max(1, k)), mode, domains
 
 
+#: What a hit's source tells beside its number.
+SOURCE_KEYS = ("source", "rel_path", "domain", "chunk_id", "document_id", "sha256", "parent_path", "revision_label", "revision_family", "revision_state")
+#: Characters of a passage that a list-wise reranker and a scoring one are shown.
+LISTED, SCORED = 300, 2000
+
+
+def listwise(chat: Callable[[list[dict]], str]) -> Callable[[str, list[dict]], list[int] | None]:
+    """A backend that has a model order numbered passages; it gives places from 0, those the model named first."""
+
+    def order(query: str, hits: list[dict]) -> list[int] | None:
+        lines = "\n".join(f"[{n}] ({h.get('source') or ''}) {(h.get('text') or '')[:LISTED]}".replace("\n", " ") for n, h in enumerate(hits, 1))
+        said = chat([{"role": "user", "content": f"Order all {len(hits)} passages by how well they answer the query, best first. Reply with a JSON array of their numbers and nothing else.\n\nQuery: {query}\n\n{lines}"}])
+        found = re.search(r"\[([^\[\]]*)\]", said or "")
+        return [int(n) - 1 for n in re.findall(r"\d+", found[1])] if found else None
+
+    return order
+
+
+def scoring(url: str, post: Callable[[str, dict, float], dict] = post_json, timeout: float = 20) -> Callable[[str, list[dict]], list[int] | None]:
+    """A backend that asks a service for one score a passage; it gives places from 0, best first, equal scores as they stand."""
+
+    def order(query: str, hits: list[dict]) -> list[int] | None:
+        scores = post(url, {"query": query, "texts": [(h.get("text") or "")[:SCORED] for h in hits]}, timeout).get("scores")
+        return sorted(range(len(hits)), key=lambda i: -scores[i]) if scores and len(scores) == len(hits) else None
+
+    return order
+
+
+def reranked(query: str, hits: list[dict], settings: dict, backends: dict[str, Callable]) -> list[dict]:
+    """The first ``pool`` hits in the order of the backend told in the settings, the others behind them.
+
+    Whatever goes wrong, an unknown backend, an exception, a reply that orders nothing, leaves the order. Places out of range and
+    repeated ones are dropped, those not named follow in their order.
+    """
+    name = str(settings.get("backend") or "none").lower()
+    pool = hits[: int(settings.get("pool", 15))]
+    if name == "none" or not settings.get("enabled", True) or len(pool) < 2:
+        return hits
+    try:
+        order = backends[name](query, pool)
+    except Exception as e:  # a broken reranker must not take the search with it
+        print(f"rerank backend {name!r} failed ({type(e).__name__}), order kept", file=sys.stderr)
+        return hits
+    told = list(dict.fromkeys(n for n in order or [] if 0 <= n < len(pool)))
+    return [pool[n] for n in [*told, *(n for n in range(len(pool)) if n not in told)]] + hits[len(pool) :]
+
+
 class Service:
-    """``answer`` is a model that gets the question and the numbered context; without one, excerpts are given."""
+    """``answer`` is a model that gets the question and the numbered context; without one, excerpts are given.
 
-    def __init__(self, spark: SparkSession, store: str, taxonomy: list[str] | None = None, answer: Callable[[str, str], str] | None = None, excluded=None):
+    settings: rerank (backend, pool, enabled) and search (boost, the weight of a named item's documents; 0 for none); backends:
+    rerankers by name.
+    """
+
+    def __init__(self, spark: SparkSession, store: str, taxonomy: list[str] | None = None, answer: Callable[[str, str], str] | None = None, excluded=None, settings: dict | None = None, backends: dict[str, Callable] | None = None):
         self.spark, self.store, self.taxonomy, self.answer, self.excluded = spark, Snapshots(spark, store), taxonomy or [], answer, excluded
+        self.settings, self.backends = settings or {}, backends or {}
 
     def _tables(self):
         return tuple(self.store.read(n) for n in ("documents", "chunks", "vchunks"))
 
+    def _boosted(self, q):
+        """Documents of items the query names; None without a registry, and if it can't be read."""
+        try:
+            equipment, links = self.store.read("equipment"), self.store.read("doc_equipment")
+            return None if equipment is None or links is None else retrieval.boosted_documents(q.select("query_id", "text"), retrieval.aliases(equipment, links))
+        except Exception as e:  # the boost is an extra
+            print(f"boost failed ({type(e).__name__}), left out", file=sys.stderr)
+            return None
+
     def search(self, query: str, k: int = 8, mode: str = "hybrid", domains: list[str] | None = None) -> list[dict]:
         query, k, mode, domains = bounded(query, k, mode, domains)
         docs, chunks, vectors = self._tables()
@@ -54,23 +116,38 @@ class Service:
             return []
         q = self.spark.createDataFrame([(0, query)], "query_id long, text string").withColumn("vector", embed_text(F.col("text")))
         ok = None if domains is None and self.excluded is None else retrieval.eligible_chunks(chunks, docs, domains, self.excluded)
-        hits = retrieval.hybrid(q, chunks, vectors.withColumnRenamed("embedding", "vector"), k, mode, ok)
-        return [r.asDict() for r in retrieval.hydrated(hits, chunks, docs).orderBy("rank").collect()]  # at most MAX_K rows
+        rerank = self.settings.get("rerank", {})
+        active = mode == "hybrid" and rerank.get("enabled", True) and str(rerank.get("backend") or "none").lower() != "none"
+        weight = float(self.settings.get("search", {}).get("boost", 0.0))
+        boosted = self._boosted(q) if weight and mode == "hybrid" else None
+        hits = retrieval.hybrid(q, chunks, vectors.withColumnRenamed("embedding", "vector"), max(k, int(rerank.get("pool", 15))) if active else k, mode, ok, boosted, weight)
+        rows = [r.asDict() for r in retrieval.hydrated(hits, chunks, docs).orderBy("rank").collect()]  # at most MAX_K rows, or the pool
+        rows = (reranked(query, rows, rerank, self.backends) if active else rows)[:k]
+        return [{**r, "rank": n} for n, r in enumerate(rows, 1)]
 
     def ask(self, query: str, k: int = 8, domains: list[str] | None = None) -> dict:
-        """state is no_relevant, degraded, partial or grounded; a model that fails gives excerpts."""
-        hits = self.search(query, k, "hybrid", domains)
+        """state is retrieval_error, no_relevant, degraded, partial or grounded, failure why it isn't grounded; a model that fails gives excerpts."""
+        try:
+            hits = self.search(query, k, "hybrid", domains)
+        except BadRequest:
+            raise
+        except Exception as e:
+            return {"state": "retrieval_error", "failure": "retrieval_error", "answer": f"[Retrieval is unavailable ({type(e).__name__}); no grounded answer was generated.]", "sources": [], "hits": []}
         row = self.spark.createDataFrame([([{c: h[c] for c in ("source", "domain", "text")} for h in hits],)], "hits array<struct<source:string,domain:string,text:string>>")
         excerpts, context = row.select(answers.excerpts(F.col("hits")), answers.context(F.col("hits"))).first()
+        failure = None
         try:
             text = self.answer(query, context) if self.answer and hits else ""
         except Exception:  # the model's failure is part of the contract
-            text = ""
+            text, failure = "", "generation_error"
         judged = self.spark.createDataFrame([(text, len(hits))], "a string, n int").select(
-            answers.state(F.lit(None).cast("string"), F.col("n"), F.col("a")).alias("state"), answers.scrubbed(F.col("a"), F.col("n")).alias("answer")
+            answers.state(F.lit(None).cast("string"), F.col("n"), F.col("a")).alias("state"), answers.scrubbed(F.col("a"), F.col("n")).alias("answer"), answers.citations(F.col("a"), F.col("n")).alias("c")
         )
-        state, clean = judged.first()
-        return {"state": state, "answer": excerpts if state == "degraded" else clean if hits else "", "sources": [{"n": h["rank"], "source": h["source"], "rel_path": h["rel_path"]} for h in hits]}
+        state, clean, c = judged.first()
+        if state in ("degraded", "partial") and not failure:
+            failure = "empty_generation" if not text.strip() else "invalid_citations" if c["present"] else "missing_citations"
+        said = excerpts if state == "degraded" else clean if hits else "No relevant information found in the knowledge base."
+        return {"state": state, "failure": failure, "answer": said, "sources": [{"n": h["rank"], **{key: h.get(key) for key in SOURCE_KEYS}} for h in hits], "hits": hits, "citations": c.asDict(True)}
 
     def status(self) -> dict:
         docs, chunks, _ = self._tables()

@@ -6,7 +6,7 @@ import urllib.request
 
 import pytest
 
-from corpusmill import config, service
+from corpusmill import config, models, service
 from corpusmill.cli import parser
 from corpusmill.models import embed_text
 from corpusmill.sources.files import Snapshots
@@ -34,6 +34,47 @@ def test_search_ask_and_status(kb):
     assert kb.source(2) == "all about pumps\n\nand valves" and kb.source(9) is None
 
 
+def test_rerank_dispatch_fails_open(capsys):
+    hits = [{"chunk_id": n, "source": "s", "text": "t" * 400} for n in range(5)]
+    ids = lambda settings, **b: [h["chunk_id"] for h in service.reranked("q", hits, settings, b)]
+    assert ids({"backend": "none"}) == ids({}) == ids({"backend": "llm", "enabled": False}, llm=lambda q, h: [1]) == [0, 1, 2, 3, 4]
+    assert ids({"backend": "unknown"}) == [0, 1, 2, 3, 4] == ids({"backend": "llm"}, llm=lambda q, h: 1 / 0) and "failed" in capsys.readouterr().err
+    chat = lambda reply: service.listwise(lambda m: reply)
+    assert ids({"backend": "LLM", "pool": 3}, llm=chat("Best first: [3, 1, 2] as asked")) == [2, 0, 1, 3, 4]
+    assert ids({"backend": "llm"}, llm=chat("[3,3,99,1]")) == [2, 0, 1, 3, 4] and ids({"backend": "llm"}, llm=chat("none")) == [0, 1, 2, 3, 4]
+    score = lambda s: service.scoring("u", lambda url, body, timeout: {"scores": s})
+    assert ids({"backend": "service"}, service=score([0, 2, 1, 2, 0])) == [1, 3, 2, 0, 4] and ids({"backend": "service"}, service=score([1, 2])) == [0, 1, 2, 3, 4]
+
+
+def test_chat_formats():
+    seen = []
+
+    def post(url, body, timeout):
+        seen.append(body)
+        return {"message": {"content": "<think>x</think> yes "}} if "/api/chat" in url else {"choices": [{"message": {"content": "no"}}]}
+
+    say = [{"role": "user", "content": "?"}]
+    assert models.chat_model("http://h/api/chat", "m", post=post)(say) == "yes" and models.chat_model("http://h/v1/chat/completions", "m", post=post)(say) == "no"
+    assert seen[0]["options"]["num_predict"] == 800 and seen[1]["max_tokens"] == 800 and seen[0]["stream"] is False
+    assert models.chat_model("http://h/v1", "m", post=lambda *a: {})(say) == ""
+
+
+def test_answers_tell_their_sources_and_failures(kb):
+    told = kb.ask("pumps")["sources"][0]
+    assert told["n"] == 1 and told["parent_path"] == "x" and told["revision_state"] == "current" and told["revision_label"] is None and set(service.SOURCE_KEYS) < set(told)
+    kb.answer = lambda q, c: "no number"
+    assert kb.ask("pumps")["failure"] == "missing_citations"
+    kb.answer = lambda q, c: 1 / 0
+    assert kb.ask("pumps")["failure"] == "generation_error"
+    kb.answer, tables = None, kb._tables
+    kb._tables = lambda: 1 / 0
+    assert kb.ask("pumps")["state"] == "retrieval_error"
+    kb._tables = tables
+    kb.settings, kb.backends = {"rerank": {"backend": "mine", "pool": 3}}, {"mine": lambda q, h: [1]}
+    assert [h["chunk_id"] for h in kb.search("all about pumps", k=2)][1] == 20
+    kb.settings = {}
+
+
 def test_bounds():
     assert service.bounded("q", 999)[1] == 50 and service.bounded("q", -3)[1] == 1
     for bad in (("",), (None,), ("x" * 2001,), ("q", "8"), ("q", 8, "magic"), ("q", 8, "fts", "power")):
