@@ -73,6 +73,18 @@ def thin(documents: DataFrame, chunks: DataFrame, least: int = 800) -> DataFrame
     return j.select("doc_id", F.coalesce("chars", F.lit(0)).alias("chars")).where(F.col("chars") < least)
 
 
+def thinnest(documents: DataFrame, chunks: DataFrame, there: Column | None = None, least: int = 800, limit: int | None = None) -> DataFrame:
+    """``thin`` with rel_path, in order of length, of the files that are ``there`` (an expression of the document); the first ``limit`` where that is told."""
+    held = documents.join(thin(documents, chunks, least), "doc_id")
+    held = (held if there is None else held.where(there)).select("doc_id", "rel_path", "chars").orderBy("chars", "doc_id")
+    return held if limit is None else held.limit(limit)
+
+
+def copies_state(documents: DataFrame, present: Column, right: Column) -> DataFrame:
+    """(doc_id, rel_path, state): missing, changed or ok, of the curated copy of each document; present and right are expressions of it."""
+    return documents.select("doc_id", "rel_path", F.when(~present, "missing").when(~right, "changed").otherwise("ok").alias("state"))
+
+
 def gain(old: Column, new: Column, failed: Column, swap_failed: Column, dry_run: bool = False, margin: int = 200) -> Column:
     """Whether a new description is taken."""
     enough = new > old + margin

@@ -30,13 +30,14 @@ def retrieval_metrics(found: DataFrame) -> DataFrame:
 
 
 def fold(text: Column) -> Column:
+    """Dashes and quotes in their ASCII forms, then NFKC; null is empty."""
     return T.nfkc(T.ascii_punctuation(F.coalesce(text, F.lit(""))))
 
 
 def supported(answer: Column, passages: Column, facts: Column) -> Column:
     """Every fact is in a cited passage; false without citations or facts. passages: texts in citation order."""
-    inside = F.transform(F.filter(cited(answer), lambda n: (n >= 1) & (n <= F.size(passages))), lambda n: F.lower(T.ascii_punctuation(F.element_at(passages, n))))
-    folded = F.transform(facts, lambda f: F.lower(T.ascii_punctuation(f)))
+    inside = F.transform(F.filter(cited(answer), lambda n: (n >= 1) & (n <= F.size(passages))), lambda n: F.lower(fold(F.element_at(passages, n))))
+    folded = F.transform(facts, lambda f: F.lower(fold(f)))
     return F.coalesce((F.size(inside) > 0) & (F.size(facts) > 0) & F.forall(folded, lambda f: F.exists(inside, lambda p: p.contains(f))), F.lit(False))
 
 
@@ -54,8 +55,8 @@ def answer_metrics(rows: DataFrame) -> DataFrame:
     n = cited(F.col("answer"))
     good = (F.size(n) > 0) & F.forall(n, lambda x: (x >= 1) & (x <= F.col("sources")))
     facts = F.coalesce(F.size("expected_facts"), F.lit(0)) > 0
-    low = F.lower(T.ascii_punctuation(F.coalesce("answer", F.lit(""))))
-    right = F.forall("expected_facts", lambda f: low.contains(F.lower(T.ascii_punctuation(f))))
+    low = F.lower(fold(F.col("answer")))
+    right = F.forall("expected_facts", lambda f: low.contains(F.lower(fold(f))))
     refused = refusal(F.col("answer"), F.col("sources"))
     failing = F.col("category").isin(FAILURES)
     cases = [
@@ -66,7 +67,8 @@ def answer_metrics(rows: DataFrame) -> DataFrame:
         ("refusal_quality", F.col("expected_behaviour") == "refuse", refused),
         ("failure_behaviour", failing, (F.col("expected_behaviour") == "degraded") & refused),
     ]
-    sums = rows.agg(*[x for name, of, hit in cases for x in (F.count_if(of & hit).alias(f"{name}_h"), F.count_if(of).alias(f"{name}_t"))])
+    told = rows.select(*[x for name, of, hit in cases for x in ((of & hit).alias(f"{name}_h"), of.alias(f"{name}_t"))])
+    sums = told.agg(*[F.count_if(F.col(f"{name}_{end}")).alias(f"{name}_{end}") for name, _, _ in cases for end in "ht"])
     out = F.explode(F.array(*[F.struct(F.lit(name).alias("metric"), F.col(f"{name}_h").alias("hits"), F.col(f"{name}_t").alias("total")) for name, _, _ in cases]))
     return sums.select(out.alias("m")).select("m.*").withColumn("rate", F.round(F.col("hits") / F.nullif("total", F.lit(0)), 6))
 

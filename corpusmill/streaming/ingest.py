@@ -49,6 +49,46 @@ def holds(folder: str | None):
     return check
 
 
+def stands(folder: str):
+    """An expression of rel_path: whether the folder has a regular file of that name."""
+
+    @F.pandas_udf("boolean")
+    def check(paths: pd.Series) -> pd.Series:
+        full = [os.path.join(folder, p) if p is not None else "" for p in paths]
+        return pd.Series([os.path.isfile(p) and not os.path.islink(p) for p in full], dtype=bool)
+
+    return check
+
+
+def logged(rows: DataFrame) -> DataFrame:
+    """Rows of (src, action, ts) as those of the log."""
+    return rows.select("src", "action", F.lit(None).cast("string").alias("error"), F.lit(None).cast("int").alias("attempt"), F.lit(None).cast("array<string>").alias("warnings"), "ts")
+
+
+def reextracted(spark: SparkSession, store: Snapshots, documents: DataFrame, curated: str, **extraction) -> dict:
+    """Extracts documents (doc_id, src: their path in the curated store) again and puts new chunks in place of theirs, in one commit.
+
+    Those whose copy is gone or whose text is too short stay as they are. Gives counts.
+    """
+    docs = store.read("documents")
+    held = docs.join(documents.select("doc_id"), "doc_id", "left_semi").withColumn("path", F.concat(F.lit(os.path.realpath(curated) + "/"), "rel_path"))
+    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(curated).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
+    found = held.join(content, "path").where(F.sha2("content", 256) == F.col("sha256"))
+    texts = extracted(found.select("rel_path", "content"), **extraction).where(F.length(F.trim(F.coalesce("text", F.lit("")))) >= ledger.LEAST_CHARS)
+    new = cut(found.select("doc_id", "rel_path").join(texts, "rel_path").select("doc_id", "text", F.col("extractor").alias("new_extractor")))
+    gone = small(new.select("doc_id"))
+    chunks = cut(chunked(new).select(F.xxhash64("doc_id", "seq").alias("chunk_id"), F.col("doc_id").alias("document_id"), "seq", F.col("chunk").alias("text")))
+    old = store.read("chunks")
+    kept, lost = (old.join(gone.withColumnRenamed("doc_id", "document_id"), "document_id", how) for how in ("left_anti", "left_semi"))
+    lost = small(cut(lost.select("chunk_id").distinct()))
+    counts = chunks.groupBy("document_id").agg(F.count("*").cast("int").alias("new_n")).withColumnRenamed("document_id", "doc_id")
+    changed = docs.join(counts.join(new.select("doc_id", "new_extractor"), "doc_id"), "doc_id", "left")
+    changed = changed.withColumn("n_chunks", F.coalesce("new_n", "n_chunks")).withColumn("extractor", F.coalesce("new_extractor", "extractor")).select(docs.columns)
+    vectors = store.read("vchunks").join(lost, "chunk_id", "left_anti").unionByName(chunks.select("chunk_id", embed_text(F.col("text")).alias("embedding")))
+    store.commit(documents=changed, chunks=kept.unionByName(chunks.select(kept.columns)), vchunks=vectors)
+    return {"asked": documents.count(), "done": new.count()}
+
+
 def pending(store: Snapshots) -> DataFrame:
     """The last ledger row of each file."""
     rows = store.read("ingest_pending")

@@ -6,7 +6,7 @@ import urllib.request
 
 import pytest
 
-from corpusmill import config, models, service
+from corpusmill import cli, config, models, service
 from corpusmill.cli import parser
 from corpusmill.models import embed_text
 from corpusmill.sources.files import Snapshots
@@ -109,5 +109,30 @@ def test_settings(tmp_path):
     assert config.load(None, {"CORPUSMILL_VISION_DESCRIBE_ENABLED": ""})["vision_describe"]["enabled"] is False
 
 
+def test_commands_over_a_store(tmp_path, spark, capsys, monkeypatch):
+    monkeypatch.setattr(cli, "local_session", lambda: spark)
+    for name in ("store", "inbox", "checkpoint", "curated", "quarantine"):
+        monkeypatch.setenv(f"CORPUSMILL_PATHS_{name.upper()}", str(tmp_path / name))
+    monkeypatch.setenv("CORPUSMILL_PATHS_EXCLUSIONS", str(tmp_path / "ex.txt"))
+
+    def run(*args):
+        code = cli.main(list(args))
+        return code, capsys.readouterr().out
+
+    run("init")
+    (tmp_path / "inbox" / "pump.txt").write_text("The pump of the north hall must be drained before work begins.")
+    assert json.loads(run("ingest", "--dry-run")[1]) == [{"rel_path": "pump.txt", "action": "would_ingest"}]
+    assert json.loads(run("ingest")[1]) == {"documents": 1, "chunks": 1}
+    assert json.loads(run("search", "pump")[1])[0]["rel_path"] == "99_MISC/pump.txt"
+    (tmp_path / "gold.jsonl").write_text('{"id": "1", "q": "pump of the north hall", "expect_source": "pump", "expected_facts": ["drained"], "category": "facts", "expected_behaviour": "answer", "expect_citations": true}')
+    told = json.loads(run("evaluate", "--gold", str(tmp_path / "gold.jsonl"))[1])
+    assert told[0] == {"questions": 1, "recall": 1.0, "mrr": 1.0} and {m["metric"]: m["rate"] for m in told[1:]}["known_answer_correctness"] == 1.0
+    (tmp_path / "curated" / "99_MISC" / "pump.txt").write_text("changed")
+    assert '"changed"' in run("check")[1]
+    assert json.loads(run("reextract", "99_MISC/pump.txt", "--apply")[1].split("]")[-1]) == {"asked": 1, "done": 0}
+    assert run("backup", str(tmp_path / "b"))[0] == 0 and run("restore-check", str(tmp_path / "b"))[0] == 0 and run("restore", str(tmp_path / "b"))[0] == 0 and run("verify")[0] == 0
+    assert run("retry", "pump.txt")[1].strip() == "[]" and run("restore-check", str(tmp_path / "none"))[0] == 1
+
+
 def test_commands():
     assert parser().parse_args(["search", "pump", "-k", "3"]).k == 3
