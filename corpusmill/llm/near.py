@@ -4,8 +4,9 @@ The signature of a text is a b-bit MinHash of its runs of three words: the lowes
 distance of two signatures is the number of slots in which they differ (Hamming distance). The slots are split into CHUNKS
 chunks. Two signatures that differ in at most CHUNKS * (ERRORS + 1) - 1 slots have, by the pigeonhole principle, a chunk in
 which at most ERRORS slots differ; so every chunk is entered into the index once for each choice of ERRORS slots to be left
-out, and each pair within that distance meets under a common key. All pairs that meet are compared by their exact
-similarity; nothing is left out between but what a bound proves to be below the threshold.
+out, and each pair within that distance meets under a common key. Pairs that meet are kept if no more than FAR slots differ,
+which is beyond the distance that is guaranteed, and compared by their exact similarity. Of signatures the lowest eight bits
+of each slot travel with a key; slots equal by accident make a distance smaller, never larger.
 
 Texts with the same words are one representative until the end. The index is range-partitioned by key and id, so that a key
 under which very many texts meet is spread over partitions; its texts are then compared block by block in tasks of their own.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.components import connected_components
-from ..runtime import cut, dispose, parts, small
+from ..runtime import cut, parts, small
 from .copies import FIELD_BREAKS, field_key
 from .graph import one_thread
 from .ragged import flat, minima, mix, rows_of, runs
@@ -39,6 +41,13 @@ BLOCK = 512
 MAP = 512
 
 
+def far(threshold: float) -> int:
+    """The least distance that signatures of a pair of just that similarity exceed but once in 3,000 cases; never below what is guaranteed."""
+    p, most = 1 - threshold, CHUNKS * (ERRORS + 1) - 1
+    beyond = lambda d: sum(comb(SLOTS, k) * p**k * (1 - p) ** (SLOTS - k) for k in range(d + 1, SLOTS + 1))
+    return next(d for d in range(most, SLOTS + 1) if beyond(d) < 1 / 3000)
+
+
 def signature(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The b-bit MinHash of each row: rows by SLOTS."""
     return minima(hashes, offsets, SLOTS) & np.uint32(2**BITS - 1)
@@ -58,24 +67,32 @@ def keys(sig: np.ndarray) -> np.ndarray:
     return np.stack(out, 1) if len(m) else np.zeros((0, len(out)), np.uint64)
 
 
+_LOW = [f"s{i}" for i in range(SLOTS // 8)]
+_INDEX = "key long, id long, " + ", ".join(f"{c} long" for c in _LOW)
+
+
 def index(rows: DataFrame) -> DataFrame:
-    """(key, id): every key of each row's signature; rows has id and w (word hashes)."""
+    """(key, id, s0, ...): every key of each row's signature, with the low bytes of it; rows has id and w (word hashes)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for s in range(0, whole.num_rows, 2000):
                 b = whole.slice(s, 2000)
-                k = keys(signature(*runs(*flat(b.column(1)), SHINGLE)))
-                yield pa.RecordBatch.from_arrays([pa.array(k.ravel().view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), k.shape[1]))], names=["key", "id"])
+                sig = signature(*runs(*flat(b.column(1)), SHINGLE))
+                k, low = keys(sig), np.ascontiguousarray(sig.astype(np.uint8)).view(np.int64)
+                n = k.shape[1]
+                cols = [k.ravel().view(np.int64), np.repeat(b.column(0).to_numpy(), n), *(np.repeat(low[:, c], n) for c in range(low.shape[1]))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "id", *_LOW])
 
-    return rows.select("id", "w").mapInArrow(work, "key long, id long")
+    return rows.select("id", "w").mapInArrow(work, _INDEX)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Scan of rows sorted by key: pairs that meet (key null), and the rows of long runs and of a partition's first and last run (b null)."""
+def _scan(most: int):
+    """Scan of rows sorted by key: pairs that meet within the distance (key null), and the rows of long runs and of a partition's
+    first and last run (b null)."""
     names = ["a", "b", "key"]
 
-    def work(key: np.ndarray, ids: np.ndarray, begins: bool, ends: bool):
+    def work(key: np.ndarray, ids: np.ndarray, low: np.ndarray, begins: bool, ends: bool):
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         lengths = np.diff(np.r_[starts, len(key)])
         apart = lengths > BLOCK
@@ -86,33 +103,37 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids[~live]), pa.nulls(int((~live).sum()), pa.int64()), pa.array(key[~live])], names=names)
         for d in range(1, int(lengths[~apart].max(initial=1))):  # row and its d-th neighbour
             a = np.flatnonzero(live & (place + d < run))
-            x, y = ids[a], ids[a + d]
-            x, y = np.minimum(x, y)[x != y], np.maximum(x, y)[x != y]
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.nulls(len(x), pa.int64())], names=names)
-
-    rest_k, rest_i, begins = np.zeros(0, np.int64), np.zeros(0, np.int64), True
-    for b in batches:
-        if not b.num_rows:
-            continue
-        key, ids = np.r_[rest_k, b.column(0).to_numpy()], np.r_[rest_i, b.column(1).to_numpy()]
-        last = int(np.searchsorted(key, key[-1]))
-        if not last or len(key) - last > BLOCK:  # a long run may go on: what is here of it is given out at once
-            yield from work(key, ids, begins, True)
-            rest_k, rest_i, begins = key[:0], ids[:0], True
-        else:
-            yield from work(key[:last], ids[:last], begins, False)
-            rest_k, rest_i, begins = key[last:], ids[last:], False
-    if len(rest_k):
-        yield from work(rest_k, rest_i, begins, True)
+            a = a[((low[a] != low[a + d]).sum(1) <= most) & (ids[a] != ids[a + d])]
+            if len(a):
+                x, y = ids[a], ids[a + d]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.nulls(len(a), pa.int64())], names=names)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, begins = None, True
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = [b.column(0).to_numpy(), b.column(1).to_numpy(), np.stack([b.column(2 + c).to_numpy() for c in range(len(_LOW))], 1).view(np.uint8)]
+            now = now if rest is None else [np.concatenate(c) for c in zip(rest, now)]
+            key = now[0]
+            last = int(np.searchsorted(key, key[-1]))
+            if not last or len(key) - last > BLOCK:  # a long run may go on: what is here of it is given out at once
+                yield from work(*now, begins, True)
+                rest, begins = None, True
+            else:
+                yield from work(*(c[:last] for c in now), begins, False)
+                rest, begins = [c[last:] for c in now], False
+        if rest is not None:
+            yield from work(*rest, begins, True)
+
+    return scan
 
 
 def candidates(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: pairs of ids whose signatures meet under a key; rows has id and w (word hashes)."""
-    keyed = cut(index(rows))  # the range partitioner looks at the keys once more; they aren't made again
+    """(a, b), a < b: pairs of ids whose signatures meet under a key; rows has id and w (word hashes), and is a written table: the
+    range partitioner looks at the keys before they are dealt."""
     n = parts(rows.sparkSession)
-    met = cut(keyed.repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id").mapInArrow(_scan, "a long, b long, key long"))
-    dispose(keyed)
+    met = cut(index(rows).repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id").mapInArrow(_scan(far(threshold)), "a long, b long, key long"))
     pairs = met.where("b is not null").select("a", "b").distinct()
     apart = met.where("b is null").select(F.col("a").alias("id"), "key").distinct()
     return pairs if apart.isEmpty() else pairs.union(_blocks(apart, rows, threshold)).distinct()
