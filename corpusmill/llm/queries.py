@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..runtime import spread
 from ..runtime import table as stored
-from . import copies, encode, history, leaks, near, pieces, residue, scans, together, vectors
+from . import copies, encode, history, leaks, near, oracle, pieces, residue, scans, together, vectors
 
 
 #: Tables that grow with the corpus and are long in work for their bytes.
@@ -42,7 +42,13 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "p1_found": oracle.P1_FOUND,
+        "p2_found": oracle.P2_FOUND,
+        "p2_counts": oracle.P2_COUNTS,
         "p4_found": together.SQL_FOUND,
         "p4_scores": together.SQL_SCORED,
         "p5_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 1800",
+        "p6_found": oracle.P6_FOUND,
+        "p7_found": oracle.P7_FOUND,
+        "p9_found": oracle.P9_FOUND,
     }
