@@ -139,6 +139,35 @@ def entity_boost(s, d):
     return found.groupBy("query_id").agg(F.count("*").alias("documents"), F.min("document_id").alias("least"))
 
 
+def boosted_fusion(s, d):
+    """The lexical arm of each item's question, fused and boosted by the documents linked to the items it names."""
+    q, c = _named_queries(s, d), _chunks(s, d)
+    lex = retrieval.bm25(q, c, 20).withColumn("pos", F.col("rank") - 1)
+    fused = retrieval.fuse(lex.limit(0), lex)
+    boosted = retrieval.boosted_documents(q, retrieval.aliases(table(s, d, "equipment"), _links(s, d)))
+    return retrieval.ordered(retrieval.boost(fused, c, boosted, 0.012), 8).select("query_id", "chunk_id", "score", "rank")
+
+
+def hit_metadata(s, d):
+    hits = retrieval.bm25(_gold_queries(s, d), _chunks(s, d), 5)
+    return retrieval.hydrated(hits, table(s, d, "chunks"), _docs(s, d)).select("query_id", "chunk_id", "source", "rel_path", "sha256", "parent_path", "revision_label", "revision_family", "revision_state")
+
+
+def listed_passages(s, d):
+    hits = retrieval.bm25(_gold_queries(s, d), _chunks(s, d), 15)
+    t = retrieval.listed_passages(retrieval.hydrated(hits, table(s, d, "chunks"), _docs(s, d)).withColumn("pos", F.col("rank")))
+    return t.select("query_id", "n", F.md5("passages").alias("digest"))
+
+
+def thinnest_documents(s, d):
+    return audit.thinnest(_docs(s, d), table(s, d, "chunks"), F.col("doc_id") % 3 != 0, limit=50)
+
+
+def copies_state(s, d):
+    """With made-up states of the files."""
+    return audit.copies_state(_docs(s, d), F.col("doc_id") % 5 != 0, F.col("doc_id") % 7 != 0).groupBy("state").agg(F.count("*").alias("documents"), F.min("rel_path").alias("least"))
+
+
 def _named_queries(s, d):
     e = table(s, d, "equipment").where("canonical_name is not null")
     return e.select((-F.col("equipment_id")).alias("query_id"), F.concat(F.lit("Where is the manual of the "), "canonical_name", F.lit("?")).alias("text"))
@@ -396,7 +425,7 @@ QUERIES = {
             knn_l2_topk, knn_eligible, hybrid_search, rrf_fusion, entity_boost, eligible_chunks, rerank_permutation, rerank_scores, citation_check, degraded_excerpts, prompt_context, eval_recall_mrr,
             answer_metrics, gold_contract, secrets_gate, degenerate_summaries, extraction_warnings, unprocessed_docs, entity_input, classification_sample, taxonomy_match, cooccurrence_pairs,
             merge_candidates, registry_groups, registry_summary, apply_merges, json_payload, latest_state, dead_letters, attempt_fold, consistency_audit, reconcile_actions, ingest_actions,
-            snapshot_upsert, promoted_names, register_rows, inbox_candidates, gain_gate, dpi_cap, fold_unicode,
+            boosted_fusion, hit_metadata, listed_passages, thinnest_documents, copies_state, snapshot_upsert, promoted_names, register_rows, inbox_candidates, gain_gate, dpi_cap, fold_unicode,
         )
     },
 }

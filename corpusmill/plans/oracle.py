@@ -160,6 +160,10 @@ ANSWERS = """
 a AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '' ELSE coalesce(summary, 'It is so') || CASE WHEN doc_id % 3 = 0 THEN ' [1]' ELSE '' END || ' and [' || (doc_id % 7) || ']' END AS answer, (doc_id % 5)::INT AS sources FROM documents),
 n AS (SELECT *, [x::INT for x in regexp_extract_all(answer, '\\[(\\d+)\\]', 1)] AS numbers FROM a)"""
 
+ALIASES = f"""raw AS (SELECT equipment_id, unnest(list_append(coalesce(from_json(aliases_json, '["VARCHAR"]'), []), canonical_name)) AS r FROM equipment),
+        al AS (SELECT DISTINCT trim(regexp_replace(lower(r), '[^a-z0-9]+', ' ', 'g')) AS alias, document_id FROM raw JOIN doc_equipment USING (equipment_id) WHERE r IS NOT NULL AND document_id IS NOT NULL),
+        ok AS (SELECT * FROM al WHERE length(alias) >= 6 AND alias NOT IN ({listed(STOPWORDS)}))"""
+
 SQL = {
     "domain_stats": "SELECT domain, count(*) AS documents, coalesce(sum(n_chunks), 0) AS chunks FROM documents GROUP BY 1",
     "domain_zero_fill": f"""WITH k AS (SELECT unnest([{listed(TAXONOMY)}]) AS domain), n AS (SELECT domain, count(*) AS documents FROM documents WHERE domain IS NOT NULL GROUP BY 1)
@@ -210,14 +214,29 @@ SELECT id AS doc_id, component AS cluster, count(*) OVER (PARTITION BY component
         fu AS (SELECT query_id, chunk_id, coalesce(1 / (60 + vec_pos), 0) + coalesce(1 / (60 + lex_pos), 0) AS score, vec_pos, lex_pos FROM va FULL JOIN (SELECT * FROM la WHERE lex_pos < 32) USING (query_id, chunk_id)),
         o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_pos NULLS LAST, lex_pos NULLS LAST, chunk_id) AS rank FROM fu)
         SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM o WHERE rank <= 8""",
-    "entity_boost": f"""WITH {CHUNKS}, raw AS (SELECT equipment_id, unnest(list_append(coalesce(from_json(aliases_json, '["VARCHAR"]'), []), canonical_name)) AS r FROM equipment),
-        al AS (SELECT DISTINCT trim(regexp_replace(lower(r), '[^a-z0-9]+', ' ', 'g')) AS alias, document_id FROM raw JOIN doc_equipment USING (equipment_id) WHERE r IS NOT NULL AND document_id IS NOT NULL),
-        ok AS (SELECT * FROM al WHERE length(alias) >= 6 AND alias NOT IN ({listed(STOPWORDS)})),
+    "entity_boost": f"""WITH {CHUNKS}, {ALIASES},
         q AS (SELECT chunk_id AS query_id, text FROM c WHERE chunk_id % 20 = 0 AND text IS NOT NULL UNION ALL SELECT -equipment_id, 'Where is the manual of the ' || canonical_name || '?' FROM equipment WHERE canonical_name IS NOT NULL),
         p AS (SELECT query_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM q),
         names AS (SELECT DISTINCT alias FROM ok), hit AS (SELECT query_id, alias FROM p JOIN names ON contains(t, ' ' || alias || ' ')),
         bd AS (SELECT DISTINCT query_id, document_id FROM hit JOIN ok USING (alias))
         SELECT query_id, count(*) AS documents, min(document_id) AS least FROM bd GROUP BY 1""",
+    "boosted_fusion": f"""WITH {CHUNKS}, {ALIASES}, {bm25("SELECT -equipment_id AS query_id, 'Where is the manual of the ' || canonical_name || '?' AS text FROM equipment WHERE canonical_name IS NOT NULL")},
+        p AS (SELECT query_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM q), names AS (SELECT DISTINCT alias FROM ok),
+        bd AS (SELECT DISTINCT query_id, document_id FROM p JOIN names ON contains(t, ' ' || alias || ' ') JOIN ok USING (alias)),
+        la AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS lex_pos FROM bm),
+        fu AS (SELECT la.query_id, la.chunk_id, lex_pos, 1 / (60 + lex_pos) + CASE WHEN bd.document_id IS NOT NULL THEN 0.012::DOUBLE ELSE 0 END AS score FROM la JOIN c USING (chunk_id) LEFT JOIN bd ON bd.query_id = la.query_id AND bd.document_id = c.document_id WHERE lex_pos < 20),
+        o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lex_pos, chunk_id) AS rank FROM fu)
+        SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM o WHERE rank <= 8""",
+    "hit_metadata": f"""WITH {CHUNKS}, {bm25(GOLD_QUERIES)}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm), {PARSED}
+        SELECT r.query_id, r.chunk_id, d.source, d.rel_path, d.sha256, regexp_extract(d.rel_path, '^(.*)/[^/]*$', 1) AS parent_path, k.label AS revision_label,
+          CASE WHEN k.kind IS NOT NULL THEN k.parent || '/' || k.stem END AS revision_family, 'current' AS revision_state
+        FROM r JOIN c USING (chunk_id) JOIN documents d ON d.doc_id = c.document_id LEFT JOIN k ON k.doc_id = d.doc_id WHERE rank <= 5""",
+    "listed_passages": f"""WITH {CHUNKS}, {bm25(GOLD_QUERIES)}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm),
+        l AS (SELECT r.query_id, rank, '[' || rank || '] (' || coalesce(d.source, '') || ') ' || replace(substr(coalesce(c.text, ''), 1, 300), chr(10), ' ') AS line FROM r JOIN c USING (chunk_id) JOIN documents d ON d.doc_id = c.document_id WHERE rank <= 15)
+        SELECT query_id, count(*)::INT AS n, md5(string_agg(line, chr(10) ORDER BY rank)) AS digest FROM l GROUP BY 1""",
+    "thinnest_documents": f"""WITH {CHUNKS}, n AS (SELECT document_id, coalesce(sum(length(text)), 0) AS chars FROM c GROUP BY 1)
+        SELECT doc_id, rel_path, coalesce(chars, 0) AS chars FROM documents LEFT JOIN n ON document_id = doc_id WHERE lower(regexp_extract(rel_path, '\\.([^./]*)$', 1)) IN ('pdf', 'png', 'jpg', 'jpeg') AND coalesce(chars, 0) < 800 AND doc_id % 3 <> 0 ORDER BY chars, doc_id LIMIT 50""",
+    "copies_state": "SELECT CASE WHEN doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'changed' ELSE 'ok' END AS state, count(*) AS documents, min(rel_path) AS least FROM documents GROUP BY 1",
     "eligible_chunks": f"""WITH {CHUNKS} SELECT document_id, count(*) AS chunks FROM c JOIN documents ON doc_id = document_id
         WHERE domain IN ('10_power', '40_fire') AND rel_path IS NOT NULL AND rel_path NOT IN (SELECT rel_path FROM documents WHERE doc_id % 10 = 3 AND rel_path IS NOT NULL) GROUP BY 1""",
     "rerank_permutation": f"""WITH {CANDIDATES}, q AS (SELECT DISTINCT query_id FROM cand),
