@@ -7,6 +7,7 @@ down, so that there are as many cells as a larger collection would have.
 from __future__ import annotations
 
 import argparse
+import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -54,7 +55,7 @@ def recall_of_index(spark, documents, every: int = 5, floor: float = history.FLO
     first, second = records.where(f"pmod(xxhash64(id), {every}) <> 0"), records.where(f"pmod(xxhash64(id), {every}) = 0")
     points = records.where("v is not null")
     n = points.count()
-    path = f"{shared_dir(spark)}/measure-{n}-{vectors.SHARD_ROWS}"
+    path = f"{shared_dir(spark)}/measure-{uuid.uuid4().hex}"
     index = history.HistoryIndex.create(spark, f"{path}/index", history.cells_for(points, n))
     index.take(first)
     index.take(second, f"{path}/out")
@@ -78,7 +79,7 @@ def main(argv: list[str] | None = None) -> None:
     for rows in a.shard:
         vectors.SHARD_ROWS = rows
         if a.problem == "p1":
-            for width in (24, 48, 96):
+            for width in (8, 16, 48):
                 history.ask_shards.__defaults__ = (history.FLOOR, width)
                 print({"shard": rows, "beam": width, **recall_of_index(spark, table(spark, a.folder, "documents"))}, flush=True)
         else:
