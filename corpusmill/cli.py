@@ -154,7 +154,7 @@ def main(argv: list[str] | None = None) -> int:
             held = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths["inbox"])
             rows(ingest.ingest_batch(spark, held.select("path", "content"), store, paths["inbox"], dry_run=True))
         else:
-            ingest.run(spark, paths["inbox"], paths["store"], paths["checkpoint"], paths["curated"], quarantine=paths["quarantine"])
+            ingest.run(spark, paths["inbox"], paths["store"], paths["checkpoint"], paths["curated"], quarantine=paths["quarantine"], clean=True)
             show(service.status())
     elif a.command == "status":
         show(service.status())

@@ -122,14 +122,15 @@ def removed(store: Snapshots, doc_ids: DataFrame) -> None:
 
 def ingest_batch(
     spark: SparkSession, files: DataFrame, store: Snapshots, inbox: str, domain: Callable[[DataFrame], DataFrame] | None = None, curated: str | None = None, quarantine: str | None = None,
-    summary=None, dry_run: bool = False, **extraction,
+    summary=None, dry_run: bool = False, clean: bool = False, **extraction,
 ) -> DataFrame:
     """Takes one batch of files (path, content) in: an outcome for each, then documents, chunks, vectors and the log in one commit.
 
     A file whose content is indexed already, also from the same batch, is a duplicate, if the curated copy of it is right; if
     that is missing or changed, what was indexed is removed and the file is taken in anew. So a batch that is replayed after a
     failure changes nothing. Without ``curated`` there are no copies to check. ``domain`` gives documents their domain,
-    ``summary`` is an expression of their text. Gives (rel_path, action).
+    ``summary`` is an expression of their text. With ``clean``, files that are in the curated store or in quarantine by then leave
+    the inbox, if they are still what was read. Gives (rel_path, action).
     """
     rows = cut(files.select(_relative(inbox).alias("rel_path"), "content", F.sha2("content", 256).alias("sha256")))
     texts = cut(extracted(rows, **extraction))
@@ -184,9 +185,25 @@ def ingest_batch(
         tables["ingest_pending"] = _ledger_rows(new, "indexed").unionByName(_ledger_rows(judged.where("action = 'dead_letter'").withColumn("dest", F.lit(None).cast("string")), "dead_letter", F.col("error")))
     store.commit(tables)
     store.compact()
+    if clean and curated:
+        safe = ["processed", "skip_duplicate", *(["quarantine_secret"] if quarantine else [])]
+        cut(_cleaned(judged.where(F.col("action").isin(safe)).select("rel_path", "sha256"), inbox))
     return told
 
 
+def _cleaned(files: DataFrame, inbox: str) -> DataFrame:
+    """(rel_path) of the files (rel_path, sha256) taken out of the inbox, which are still of that content."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            gone = [p for p, sha in zip(b.rel_path, b.sha256) if verified_file(os.path.join(inbox, p), sha)]
+            for p in gone:
+                os.remove(os.path.join(inbox, p))
+            yield pd.DataFrame({"rel_path": gone})
+
+    return files.mapInPandas(work, "rel_path string")
+
+
 def _copied(files: DataFrame, folder: str) -> DataFrame:
     """(rel_path, sha256, dest, error): files (rel_path, sha256, dest, content) put below a folder that all executors share."""
 

@@ -132,8 +132,11 @@ def test_a_duplicate_whose_copy_is_gone_is_taken_in_anew(spark, tmp_path):
     box, cur = tmp_path / "in", tmp_path / "cur"
     box.mkdir()
     (box / "a.txt").write_text("The belt must be changed before the season begins.")
-    run = lambda: ingest.run(spark, str(box), str(tmp_path / "store"), str(tmp_path / "cp"), str(cur))
+    run = lambda: ingest.run(spark, str(box), str(tmp_path / "store"), str(tmp_path / "cp"), str(cur), quarantine=str(tmp_path / "hidden"), clean=True)
+    (box / "key.txt").write_text("the password = hunter2-long is written here")
+    (box / "tiny.txt").write_text("tiny")
     run()
+    assert sorted(p.name for p in box.iterdir() if not p.name.startswith(".")) == ["tiny.txt"] and (tmp_path / "hidden" / "key.txt").exists()
     (box / "b.txt").write_text("The belt must be changed before the season begins.")
     run()
     store = files.Snapshots(spark, str(tmp_path / "store"))
@@ -141,7 +144,7 @@ def test_a_duplicate_whose_copy_is_gone_is_taken_in_anew(spark, tmp_path):
     (box / "c.txt").write_text("The belt must be changed before the season begins.")
     run()
     actions = {r.src: r.action for r in store.read("manifest").collect()}
-    assert actions == {"a.txt": "processed", "b.txt": "skip_duplicate", "c.txt": "processed"}
+    assert actions == {"a.txt": "processed", "b.txt": "skip_duplicate", "c.txt": "processed", "key.txt": "quarantine_secret", "tiny.txt": "skip_empty"}
     assert [r.rel_path for r in store.read("documents").collect()] == ["99_MISC/c.txt"] and store.verified()
 
 
