@@ -17,7 +17,8 @@ from functools import lru_cache
 
 import numpy as np
 
-BATCH = 2048
+#: Points inserted at a time, and rows of a large intermediate matrix.
+BATCH, STEP = 2048, 512
 #: Queries of one block.
 BLOCK = 128
 
@@ -168,14 +169,16 @@ def build(x: np.ndarray, degree: int = 24, width: int = 32, alpha: float = 1.02,
 
 def _with_own(x, batch, ids, sims, many: int = 8):
     """Candidates with the nearest of the same batch, which the graph doesn't hold yet."""
-    own = x[batch] @ x[batch].T
-    np.fill_diagonal(own, -np.inf)
     k = min(many, len(batch) - 1)
     if k < 1:
         return ids, sims
-    near = np.argpartition(-own, k - 1, axis=1)[:, :k]
-    ids = np.concatenate([ids, batch[near].astype(np.int32)], 1)
-    sims = np.concatenate([sims, np.take_along_axis(own, near, 1)], 1)
+    own_i, own_s = np.empty((len(batch), k), np.int32), np.empty((len(batch), k), np.float32)
+    for lo in range(0, len(batch), STEP):
+        own = x[batch[lo : lo + STEP]] @ x[batch].T
+        own[np.arange(len(own)), lo + np.arange(len(own))] = -np.inf
+        near = np.argpartition(-own, k - 1, axis=1)[:, :k]
+        own_i[lo : lo + STEP], own_s[lo : lo + STEP] = batch[near], np.take_along_axis(own, near, 1)
+    ids, sims = np.concatenate([ids, own_i], 1), np.concatenate([sims, own_s], 1)
     order = np.argsort(-sims, axis=1)
     return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
@@ -187,8 +190,8 @@ def _link_back(x, graph, batch, chosen, alpha, choose) -> None:
     order = np.argsort(target, kind="stable")
     target, source = target[order], source[order]
     points, begin, count = np.unique(target, return_index=True, return_counts=True)
-    for lo in range(0, len(points), BATCH):
-        p, b, k = points[lo : lo + BATCH], begin[lo : lo + BATCH], count[lo : lo + BATCH]
+    for lo in range(0, len(points), STEP):
+        p, b, k = points[lo : lo + STEP], begin[lo : lo + STEP], count[lo : lo + STEP]
         most = int(k.max())
         cand = np.full((len(p), degree + most), -1, np.int32)
         cand[:, :degree] = graph[p]

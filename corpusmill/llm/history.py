@@ -216,14 +216,14 @@ class HistoryIndex:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*(f"{at}/{what}" for at in of.values()))
 
-    def take(self, records: DataFrame, out: str | None = None, wait: bool = True) -> None:
+    def take(self, records: DataFrame, out: str | None = None, wait: bool = True, n: int | None = None) -> None:
         """Takes a batch (id, sha, w, v) in as the next segment. With ``out``, appends to out/told (id, exact, same) the records
         whose digest or words a record before has, and to out/met (id, met, cosine) what the others' texts are near to; without
-        ``wait`` that may still go on when the next batch is taken, up to ``settle``."""
+        ``wait`` that may still go on when the next batch is taken, up to ``settle``. ``n``: the number of records, if it is known."""
         segment = (self.next, 1)
         folder = self._folder(segment)
         held = records.select("id", "sha", "w", "v")
-        n = held.count()
+        n = held.count() if n is None else n
         if n <= ONE_TASK:
             held = held.coalesce(1)
         hint = F.broadcast if n <= BROADCAST_ROWS // 16 else (lambda df: df)  # a record has at most two keys of 80 characters, a segment a key once
@@ -293,6 +293,7 @@ class HistoryIndex:
         self.settle()  # what is asked reads the old segments
         for at in old.values():
             remove(self.spark, at)
+        self.spark._jvm.System.gc()  # what many small jobs have sent to the executors is freed there when its owner is collected here
 
 
 def cells_for(points: DataFrame, n: int) -> Cells:
@@ -324,14 +325,16 @@ def exact_near(met: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 def found(documents: DataFrame, pending: DataFrame, staged: DataFrame, threshold: float = 0.8, path: str | None = None) -> DataFrame:
     """(pending_id, kind): exact or near, one row for each file that repeats something.
 
-    The index is built in ``path`` (a folder of its own without one): the documents first, then batch by batch in order.
+    The index is built in ``path``: the documents first, then batch by batch in order; without one it is built in the shared
+    folder and removed after the last batch.
     """
     spark = documents.sparkSession
     files = cut(records(pending))
-    batches = [r[0] for r in files.select("batch_id").distinct().orderBy("batch_id").collect()]  # one number for each batch
+    batches = {r[0]: r[1] for r in files.groupBy("batch_id").count().orderBy("batch_id").collect()}  # two numbers for each batch
     empty = spark.createDataFrame([], "pending_id long, kind string")
     if not batches:
         return empty
+    kept = path is not None
     path = path or f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
     docs = documents.where("doc_id is not null").select(F.shiftleft(F.col("doc_id").cast("long"), 1).alias("id"), F.lit(DOCUMENTS[0]).cast("long").alias("batch"), digest(F.col("sha256")).alias("sha"), "text")
     told = staged.select(F.col("pending_id").cast("long").alias("pending_id"), "text").where("text is not null and pending_id is not null").dropDuplicates(["pending_id"])
@@ -343,9 +346,11 @@ def found(documents: DataFrame, pending: DataFrame, staged: DataFrame, threshold
     points = accepted.where("v is not null")
     index = HistoryIndex.create(spark, f"{path}/index", cells_for(points, points.count()))
     index.take(accepted)
-    for b in batches:
-        index.take(coming.where(F.col("batch") == b), f"{path}/out", wait=False)
+    for b, n in batches.items():
+        index.take(coming.where(F.col("batch") == b), f"{path}/out", wait=False, n=n)
     index.settle()
+    if not kept:
+        remove(spark, f"{path}/index")
 
     told = spark.read.schema("id long, exact boolean, same boolean").option("recursiveFileLookup", "true").parquet(f"{path}/out/told")
     met = spark.read.schema("id long, met long, cosine double").option("recursiveFileLookup", "true").parquet(f"{path}/out/met").select("id", "met").distinct()
