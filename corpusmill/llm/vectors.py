@@ -113,8 +113,9 @@ def neighbours(df: DataFrame, k: int = 10, least: float = -2.0, width: int = WID
         return pa.Table.from_arrays([pa.array(c) for c in out], names=["id", "neighbour", "similarity"])
 
     dealt = points.mapInArrow(deal, "cell long, sub long, salt long, id long, indexed boolean, asked boolean, v binary")
-    # a number of one's own: by size alone AQE would put many shards, small but long in work, into one task
-    tasks = max(parts(df.sparkSession), min(20_000, int((cells.subs * salts).sum())))
+    # a number of one's own: by size alone AQE would put many shards, small but long in work, into one task; more partitions than
+    # shards, so that few of them meet in one by their hashes
+    tasks = max(parts(df.sparkSession), min(20_000, 8 * int((cells.subs * salts).sum())))
     found = dealt.repartition(tasks, "cell", "sub", "salt").groupBy("cell", "sub", "salt").applyInArrow(search, "id long, neighbour long, similarity double")
     member = cut(marked.where("rep is not null").select("id", "rep").distinct())
     if not member.isEmpty():
